@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import residue, survivor
+from . import chunks, leakage, neardup, residue, survivor, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,8 +29,48 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_best(spark, folder).select("tab", "first_id", "keep_id")
 
 
+def _remarks(spark: SparkSession, folder: str) -> DataFrame:
+    scope = load(spark, folder, "scope_items").select(F.lit("scope_items").alias("tab"), F.col("scope_id").alias("id"), "text")
+    lines = load(spark, folder, "takeoff_template").select(F.lit("takeoff_template").alias("tab"), F.col("item_id").alias("id"), F.col("spec_requirements").alias("text"))
+    return scope.unionByName(lines)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of scope texts, and of spec requirements, that share at least 0.7 of their words."""
+    return neardup.record_pairs(_remarks(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Bundles that must be split and whether natural boundaries allow it."""
+    return chunks.how_cut(load(spark, folder, "bundles"), "bundle_id", "full_text")
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every bundle's text."""
+    return chunks.pieces(load(spark, folder, "bundles"), "bundle_id", "full_text").withColumnRenamed("key", "bundle_id")
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokens.encode(load(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out items in documents, verbatim or paraphrased, with the cosine by which they were retrieved."""
+    return leakage.leaks(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "heldout_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 12 consecutive words of a held-out item."""
+    rows = leakage.leaks(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "heldout_items"), "item_id", "text", paraphrases=False)
+    return rows.select("item_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_best": p2_best}
+    return {
+        "p1_found": p1_found, "p2_found": p2_found, "p2_best": p2_best, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
+        "p9_found": p9_found, "p9_leaks": p9_leaks,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
