@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import chunks, leakage, neardup, residue, survivor, tokens
+from . import chunks, entities, leakage, neardup, residue, survivor, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +40,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.record_pairs(_remarks(spark, folder))
 
 
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Takeoff lines and the vendor rows that price them, with the confidence."""
+    lines = load(spark, folder, "takeoff_template").where("list_name = 'line_items'")
+    return entities.match(lines, load(spark, folder, "vendor_rows"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Takeoff lines and the vendor rows that price them."""
+    return p6_matches(spark, folder).select("item_id", "row_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Bundles that must be split and whether natural boundaries allow it."""
     return chunks.how_cut(load(spark, folder, "bundles"), "bundle_id", "full_text")
@@ -68,7 +79,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p2_found": p2_found, "p2_best": p2_best, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
+        "p1_found": p1_found, "p2_found": p2_found, "p2_best": p2_best, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
         "p9_found": p9_found, "p9_leaks": p9_leaks,
     }
 
