@@ -79,7 +79,7 @@ def strict_cells(record: str, separator: str) -> list[str] | None:
 
 def read_header(header: str | None) -> tuple[str, list[str | None]]:
     """Separator of a header record and the slot of each column (None for a column we don't know)."""
-    text = (header or "").lstrip("﻿")
+    text = (header or "").lstrip("\ufeff")
     separator = max(SEPARATORS, key=text.count)
     cells = strict_cells(text, separator)
     if cells is None:
@@ -189,7 +189,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     headers = (
         rows.where("line_no = 1")
         .groupBy("file_key")
-        .agg(F.min_by(F.regexp_replace("raw_line", "^﻿", ""), "line_id").alias("header"))
+        .agg(F.min_by(F.regexp_replace("raw_line", "^\ufeff", ""), "line_id").alias("header"))
     )
     records = rows.where("line_no is null or line_no <> 1").select("line_id", "raw_line", "file_key")
     joined = salted_lookup(records, headers, ["file_key"], "line_id", "left").select("line_id", "raw_line", "header")
