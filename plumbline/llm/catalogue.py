@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import chunks, entities, leakage, neardup, residue, survivor, tokens
+from . import chunks, entities, leakage, neardup, residue, subjects, survivor, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,10 +77,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("item_id", "doc_id")
 
 
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects of every document with the share of its sentences."""
+    return subjects.subject_areas(load(spark, folder, "documents"), "doc_id", "text", load(spark, folder, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects that at least a quarter of a document's sentences deal with."""
+    return p10_shares(spark, folder).select("doc_id", "subject")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p2_found": p2_found, "p2_best": p2_best, "p5_found": p5_found, "p6_found": p6_found, "p6_matches": p6_matches, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids,
-        "p9_found": p9_found, "p9_leaks": p9_leaks,
+        "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_shares": p10_shares,
     }
 
 

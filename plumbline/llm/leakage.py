@@ -34,10 +34,10 @@ PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.6, 0.7
 ITEM_WORDS = 2_000_000
 SEED = 17
 
-_HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n|[\n\r\u0085  \x0b\x0c])\s*(?=\w)")
+_HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n|[\n\r\u0085\u2028\u2029\x0b\x0c])\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 #: Soft hyphen, joiners, zero-width and direction marks, variation selectors, byte order mark.
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb]")
 
 
 def words(text: str | None) -> list[str]:
