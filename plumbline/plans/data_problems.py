@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import parse_rows, units
 from ..sources.tables import load
+from . import problem_sql
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(problem_sql.SQL)
