@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import chunks, entities, leakage, neardup, residue, subjects, survivor, tokens
+from . import chunks, entities, leakage, neardup, oracles, residue, subjects, survivor, tokens
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
