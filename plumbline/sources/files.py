@@ -26,7 +26,7 @@ def contents(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive
 
 def raw_records(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """file_name, line_no, line_id, raw_line of vendor files, ready for operators.parse_rows (one record per line)."""
-    lines = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder).withColumn("file_name", F.col("_metadata.file_name"))
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).withColumn("file_name", F.col("_metadata.file_name"))
     rows = lines.select("file_name", F.posexplode(F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")).alias("at", "raw_line"))
     rows = rows.where("raw_line <> ''").withColumn("line_no", F.col("at") + 1)
     return rows.select("file_name", "line_no", F.xxhash64("file_name", "line_no").alias("line_id"), "raw_line")
