@@ -25,7 +25,7 @@ LANDMARK_EVERY, HASH_SPAN = 1024, 32
 _PAGE = re.compile(r"\n(?=--- PAGE \d+ ---)")
 _LINE = re.compile(r"[\n\r]+(?=[^\n\r])")
 _SENTENCE = re.compile(r"[.!?…。][\"'”’)\]]*\s+(?=\S)")
-_SPACE = re.compile(r"\s+(?=\S)|(?<=\S)(?=\s)")
+_SPACE = re.compile(r"\s+")
 
 
 def _landmarks(text: str) -> np.ndarray:
@@ -46,8 +46,10 @@ def _landmarks(text: str) -> np.ndarray:
 
 
 def _boundaries(text: str) -> list[np.ndarray]:
-    """Places of page markers, line ends, sentence ends and white space: cuts before the first character after it."""
-    return [np.array([m.end() for m in p.finditer(text)], dtype=np.int64) for p in (_PAGE, _LINE, _SENTENCE, _SPACE)]
+    """Places of page markers, line ends, sentence ends and white space: cuts before the first character after it,
+    for white space also before its own first character."""
+    kinds = [np.array([m.end() for m in p.finditer(text)], dtype=np.int64) for p in (_PAGE, _LINE, _SENTENCE)]
+    return [*kinds, np.unique(np.array([x for m in _SPACE.finditer(text) for x in m.span()], dtype=np.int64))]
 
 
 def _nearest(places: np.ndarray, low: int, high: int, to: int) -> int | None:

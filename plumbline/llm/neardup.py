@@ -72,7 +72,7 @@ def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float) -
                     first = flat[start[who] + i]
                     with np.errstate(over="ignore"):
                         emit(who, np.minimum(first, second) * np.int64(-7046029254386353131) + np.maximum(first, second), short2[who] > j)
-        singles = np.flatnonzero(n > PAIR_CELLS)
+        singles = np.flatnonzero((n > PAIR_CELLS) | (t * n <= 1 + 1e-9))  # sets so small that one shared word may do
         if len(singles):
             long1, short1 = longest + 1, shortest + 1
             width = long1[singles]

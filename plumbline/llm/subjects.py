@@ -29,8 +29,9 @@ from ..sources.tables import need
 SHARE = 0.25
 #: Rules are fitted on at most so many labelled documents, the first in the order of a hash of their ids.
 LABELLED_DOCS = 20_000
-#: Documents a word must occur in, and how many times likelier than usual it must make some subject, to take part in rules.
-WORD_DOCS, WORD_LIFT = 3, 2.0
+#: Documents a word must occur in to take part in rules, and how many times likelier than usual it must make some subject,
+#: or by which share of the way from usual to certain.
+WORD_DOCS, WORD_LIFT, WORD_GAIN = 3, 2.0, 0.3
 #: Least share of sentences and least number of them that hold a rule's words; most words of a rule; least confidence.
 SUPPORT, SUPPORT_COUNT, RULE_WORDS, CONFIDENCE = 1e-4, 3, 3, 0.5
 #: Gain in confidence that a longer rule needs over a shorter one it contains.
@@ -156,7 +157,8 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
     each = rows.select("doc_id", "subjects", F.explode("words").alias("word"))
     often = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= WORD_DOCS)
     together = each.select("word", F.explode("subjects").alias("subject")).groupBy("word", "subject").agg(F.count(F.lit(1)).alias("both"))
-    lifted = together.join(often, "word").join(by_subject, "subject").where(F.col("both") / F.col("n") >= WORD_LIFT * F.col("prior"))
+    enough = F.least(WORD_LIFT * F.col("prior"), F.col("prior") + WORD_GAIN * (1 - F.col("prior")))
+    lifted = together.join(often, "word").join(by_subject, "subject").where(F.col("both") / F.col("n") >= enough)
     learnt.inside = frozenset(r[0] for r in lifted.select("word").distinct().collect())  # words of the bounded sample
     if not learnt.inside:
         return learnt
