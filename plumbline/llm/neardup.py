@@ -2,9 +2,10 @@
 
 Exact and without comparing all pairs. Records with one word set are one class. The words of a class are ordered
 by rarity; two similar sets must share at least two of their rarest words (one, for sets of many words), so sets
-meet only in cells keyed by such words. In a cell, each set is a point: the bits of its fingerprint (one bit per
-word) counted by segment. The Manhattan distance of two points is at most the number of words in which the sets
-differ, so pairs too far apart for their sizes fall out there. What remains is verified on the words themselves.
+meet only in cells: one for each seldom word among these, one for each two frequent ones. In a cell, each set is a
+point: the bits of its fingerprint (one bit per word) counted by segment. The Manhattan distance of two points is
+at most the number of words in which the sets differ, so pairs too far apart for their sizes fall out there. What
+remains is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -21,11 +22,17 @@ from ..session import cut
 
 #: Least number of distinct words of a set that takes part, and least similarity of a pair.
 LEAST_WORDS, SIMILARITY = 8, 0.7
-#: Up to this many words, sets meet in cells of two shared words; beyond, of one.
+#: Up to this many words, sets meet by two shared words; beyond, by one.
 PAIR_CELLS = 64
-#: Word frequencies are kept for so many hash buckets: a fixed 1 MB, whatever the vocabulary. They only order words.
-FREQUENCY_BUCKETS = 1 << 18
+#: A word of at most so many classes is seldom: its cell is small enough to need no second word.
+SELDOM = 64
+#: Word frequencies are kept for so many hash buckets: a fixed 4 MB, whatever the vocabulary. They order words and
+#: tell the seldom ones; a bucket shared by several words only makes them look more frequent.
+FREQUENCY_BUCKETS = 1 << 20
+#: Segments of a fingerprint, four bits of a number each; counts beyond 15 count as 15, which keeps the bound.
 SEGMENTS = 16
+#: Most tables in one call.
+TABLES = 1000
 
 
 def word_set(text: Column) -> Column:
@@ -38,54 +45,62 @@ def _least(share: float, n: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
-    """From tab, class_id, hashes (of the distinct words) the cells of each class: key, is_short, n, low, high."""
+    """From tab_no, class_id, hashes (of the distinct words) the cells of each class: key, class_id, points, about.
+
+    about packs the table, the number of words and whether the cell also counts where the class is the smaller one.
+    """
     mask = np.int64(FREQUENCY_BUCKETS - 1)
+    shifts = np.arange(SEGMENTS, dtype=np.int64) * 4
     for batch in batches:
         lists = batch.column("hashes")
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(n):
             continue
+        tab, class_id = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tab_no", "class_id"))
         owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((flat, frequency[flat & mask], owner))
-        flat, start = flat[order], np.concatenate(([0], np.cumsum(n)[:-1]))
-        segment = (flat >> np.int64(20)) & np.int64(SEGMENTS - 1)
-        counts = np.minimum(np.bincount(owner * SEGMENTS + segment, minlength=len(n) * SEGMENTS).reshape(len(n), SEGMENTS), 127).astype(np.int64)
-        half = SEGMENTS // 2
-        shifts = np.arange(half, dtype=np.int64) * 8
-        low, high = (counts[:, :half] << shifts).sum(1), (counts[:, half:] << shifts).sum(1)
+        often = frequency[flat & mask]
+        order = np.lexsort((flat, often, owner))
+        flat, seldom, start = flat[order], often[order] <= SELDOM, np.concatenate(([0], np.cumsum(n)[:-1]))
+        segment = (flat >> np.int64(24)) & np.int64(SEGMENTS - 1)
+        counts = np.minimum(np.bincount(owner * SEGMENTS + segment, minlength=len(n) * SEGMENTS).reshape(len(n), SEGMENTS), 15).astype(np.int64)
+        points = (counts << shifts).sum(1)
+        about = (tab << np.int64(32)) | (np.minimum(n, 0x3FFFFFFF) << np.int64(1))
         keys, sets, short = [], [], []
 
-        def emit(chosen: np.ndarray, key: np.ndarray, is_short: np.ndarray) -> None:
+        def emit(chosen: np.ndarray, first: np.ndarray, second: np.ndarray | np.int64, is_short: np.ndarray) -> None:
+            with np.errstate(over="ignore"):
+                key = np.minimum(first, second) * np.int64(-7046029254386353131) + np.maximum(first, second) + tab[chosen] * np.int64(-4417276706812531889)
             keys.append(key)
             sets.append(chosen)
             short.append(is_short)
 
         longest, shortest = n - _least(t, n), n - _least(2 * t / (1 + t), n)
-        pairs = np.flatnonzero(_least(t, n) <= PAIR_CELLS)  # a partner of at most PAIR_CELLS words is possible
-        if len(pairs):
+        by_two = np.flatnonzero(_least(t, n) <= PAIR_CELLS)  # a partner of at most PAIR_CELLS words is possible
+        if len(by_two):
             long2, short2 = np.minimum(longest + 2, n), np.where(n <= PAIR_CELLS, np.minimum(shortest + 2, n), 0)
-            for j in range(1, int(long2[pairs].max())):
-                who = pairs[long2[pairs] > j]
-                second = flat[start[who] + j]
+            for j in range(int(long2[by_two].max())):
+                who = by_two[long2[by_two] > j]
+                at = start[who] + j
+                few = seldom[at]
+                emit(who[few], flat[at[few]], np.int64(2), short2[who[few]] > j)
+                who, at = who[~few], at[~few]
                 for i in range(j):
-                    first = flat[start[who] + i]
-                    with np.errstate(over="ignore"):
-                        emit(who, np.minimum(first, second) * np.int64(-7046029254386353131) + np.maximum(first, second), short2[who] > j)
-        singles = np.flatnonzero((n > PAIR_CELLS) | (t * n <= 1 + 1e-9))  # sets so small that one shared word may do
-        if len(singles):
-            long1, short1 = longest + 1, shortest + 1
-            width = long1[singles]
-            who = np.repeat(singles, width)
+                    other = start[who] + i
+                    both = ~seldom[other]
+                    emit(who[both], flat[other[both]], flat[at[both]], short2[who[both]] > j)
+        by_one = np.flatnonzero((n > PAIR_CELLS) | (t * n <= 1 + 1e-9))  # many words, or so few that one shared word may do
+        if len(by_one):
+            long1, short1 = np.minimum(longest + 1, n), shortest + 1
+            width = long1[by_one]
+            who = np.repeat(by_one, width)
             i = np.arange(len(who)) - np.repeat(np.cumsum(width) - width, width)
-            emit(who, flat[start[who] + i], short1[who] > i)
+            emit(who, flat[start[who] + i], np.int64(1), short1[who] > i)
         if keys:
             chosen = np.concatenate(sets)
-            at = pa.array(chosen)
             yield from pa.table({
-                "tab": batch.column("tab").take(at), "class_id": batch.column("class_id").take(at), "key": pa.array(np.concatenate(keys)),
-                "is_short": pa.array(np.concatenate(short)), "n": pa.array(n[chosen].astype(np.int32)), "low": pa.array(low[chosen]), "high": pa.array(high[chosen]),
-            }).combine_chunks().to_batches()
+                "key": pa.array(np.concatenate(keys)), "class_id": pa.array(class_id[chosen]), "points": pa.array(points[chosen]), "about": pa.array(about[chosen] | np.concatenate(short).astype(np.int64)),
+            }).to_batches()
 
 
 def classes(records: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -104,37 +119,41 @@ def members(records: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def frequencies(found: DataFrame) -> np.ndarray:
     """Occurrences of words over all classes by hash bucket: a table of fixed size."""
-    buckets = found.select(F.explode("words").alias("word")).groupBy(F.expr(f"cast(xxhash64(word) & {FREQUENCY_BUCKETS - 1} as int)").alias("bucket")).count().toPandas()
-    table = np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
-    table[buckets["bucket"].to_numpy()] = buckets["count"].to_numpy()
+    buckets = found.select(F.explode("words").alias("word")).groupBy(F.expr(f"cast(xxhash64(word) & {FREQUENCY_BUCKETS - 1} as int)").alias("bucket")).count()
+    rows = buckets.select("bucket", F.least("count", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()  # at most FREQUENCY_BUCKETS rows
+    table = np.zeros(FREQUENCY_BUCKETS, dtype=np.int32)
+    table[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return table
 
 
-def _manhattan(a: str, b: str) -> Column:
-    terms = [f"abs((({a}.{w} >> {s}) & 255) - (({b}.{w} >> {s}) & 255))" for w in ("low", "high") for s in range(0, SEGMENTS // 2 * 8, 8)]
-    return F.expr(" + ".join(terms))
+def _manhattan(a: str, b: str) -> str:
+    return " + ".join(f"abs((({a}.points >>> {s}) & 15) - (({b}.points >>> {s}) & 15))" for s in range(0, SEGMENTS * 4, 4))
 
 
 def similar_classes(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of classes at least so similar: tab, class_a, class_b (a < b), shared, together (words)."""
-    table = found.sparkSession.sparkContext.broadcast(frequencies(found))
+    spark = found.sparkSession
+    tabs = sorted(r[0] for r in found.select("tab").distinct().limit(TABLES + 1).collect())
+    if len(tabs) > TABLES:
+        raise ValueError(f"more than {TABLES} tables")
+    table = spark.sparkContext.broadcast(frequencies(found))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cells(batches, table.value, similarity)
 
-    hashed = found.select("tab", "class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    placed = hashed.mapInArrow(cells, f"tab {dict(found.dtypes)['tab']}, class_id bigint, key bigint, is_short boolean, n int, low bigint, high bigint")
-    placed = placed.repartition("tab", "key")  # one exchange serves both sides
+    tab_no = F.coalesce(*[F.when(F.col("tab") == t, i) for i, t in enumerate(tabs)], F.lit(0)) if tabs else F.lit(0)
+    hashed = found.select(tab_no.cast("bigint").alias("tab_no"), "class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    placed = hashed.mapInArrow(cells, "key bigint, class_id bigint, points bigint, about bigint").repartition("key")  # one exchange serves both sides
     a, b = placed.alias("a"), placed.alias("b")
-    far = F.expr(f"floor({(1 - similarity) / (1 + similarity)!r} * (a.n + b.n) + 1e-9)")
-    meet = (
-        (F.col("a.tab") == F.col("b.tab")) & (F.col("a.key") == F.col("b.key")) & F.col("b.is_short")
-        & ((F.col("b.n") < F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.class_id") < F.col("a.class_id"))))
-        & (F.col("b.n") >= F.col("a.n") * similarity - 1e-9) & (_manhattan("a", "b") <= far)
-    )
-    candidates = a.join(b.where("is_short"), meet).select(F.col("a.tab").alias("tab"), F.least("a.class_id", "b.class_id").alias("class_a"), F.greatest("a.class_id", "b.class_id").alias("class_b")).distinct()
+    n_a, n_b = "((a.about & 4294967295) >> 1)", "((b.about & 4294967295) >> 1)"
+    meet = f"""a.key = b.key and (b.about & 1) = 1 and (a.about >> 32) = (b.about >> 32)
+      and ({n_b} < {n_a} or ({n_b} = {n_a} and b.class_id < a.class_id)) and {n_b} >= {n_a} * {similarity!r} - 1e-9
+      and {_manhattan("a", "b")} <= {(1 - similarity) / (1 + similarity)!r} * ({n_a} + {n_b}) + 1e-9"""
+    pair = ["cast(a.about >> 32 as int) tab_no", "least(a.class_id, b.class_id) class_a", "greatest(a.class_id, b.class_id) class_b"]
+    candidates = a.join(b, F.expr(meet)).selectExpr(*pair).distinct()
+    named = candidates.withColumn("tab", F.element_at(F.array(*map(F.lit, tabs or [""])), F.col("tab_no") + 1)).drop("tab_no")
     words = found.select("tab", "class_id", "words")
-    pairs = candidates.join(words.select("tab", F.col("class_id").alias("class_a"), F.col("words").alias("words_a")), ["tab", "class_a"])
+    pairs = named.join(words.select("tab", F.col("class_id").alias("class_a"), F.col("words").alias("words_a")), ["tab", "class_a"])
     pairs = pairs.join(words.select("tab", F.col("class_id").alias("class_b"), F.col("words").alias("words_b")), ["tab", "class_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     verified = pairs.select("tab", "class_a", "class_b", shared.alias("shared"), (F.size("words_a") + F.size("words_b") - shared).alias("together"))
