@@ -140,3 +140,48 @@ def backfill(finishes: DataFrame, rooms: DataFrame, openings: DataFrame) -> Data
 def fan_out(df: DataFrame, rows: list[Column], keep: list[str]) -> DataFrame:
     """One row for each non-null struct of `rows`, beside the `keep` columns."""
     return df.select(*keep, F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("made")).select(*keep, "made.*")
+
+
+def first_source(rows: DataFrame, order: list[str], base: str, target: str) -> DataFrame:
+    """Change of an index between two periods from the first source, in the order given, that has any value.
+
+    rows: source, period, value. Base and target are taken as of their periods, never later; one row: source, v0, v1,
+    factor (6 places, null where either is missing).
+    """
+    rank = F.coalesce(*[F.when(F.col("source") == s, i) for i, s in enumerate(order)])
+    ranked = rows.withColumn("rank", rank).where("rank is not null and value is not null")
+    by_source = ranked.groupBy("source", "rank").agg(
+        F.max(F.when(F.col("period") <= base, F.struct("period", "value")))["value"].alias("v0"), F.max(F.when(F.col("period") <= target, F.struct("period", "value")))["value"].alias("v1")
+    )
+    best = by_source.agg(F.min_by(F.struct("source", "v0", "v1"), "rank").alias("s")).where("s is not null").select("s.*")
+    return best.withColumn("factor", to_places(F.col("v1") / F.nullif(F.col("v0"), F.lit(0.0)), 6))
+
+
+def resolve_unique(wanted: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Row each wanted text names: by the first of `keys` whose value it equals in one row only.
+
+    wanted: wanted_id, text; rows: row_id and the keys. Result: wanted_id, row_id, status (found, ambiguous, missing).
+    """
+    candidates = None
+    for i, k in enumerate(keys):
+        counted = rows.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("text")).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n")).withColumn("rank", F.lit(i))
+        candidates = counted if candidates is None else candidates.unionByName(counted)
+    joined = wanted.join(candidates, "text", "left")
+    picked = joined.groupBy("wanted_id").agg(F.min(F.when(F.col("n") == 1, F.struct("rank", "row_id")))["row_id"].alias("row_id"), F.max("n").alias("most"))
+    status = F.when(F.col("row_id").isNotNull(), "found").when(F.col("most") > 1, "ambiguous").otherwise("missing")
+    return picked.select("wanted_id", "row_id", status.alias("status"))
+
+
+def sum_by_needles(lines: DataFrame, needles: DataFrame) -> DataFrame:
+    """Sum of the lines each group's needles hit, a line once a group: group_id, total, n_lines (none: no row).
+
+    lines: line_id, section, description, amount; needles: group_id, needle. A needle hits a line whose section it
+    equals or whose normalised description holds its words in a row; the latter is found by the needle's longest word.
+    """
+    words = lines.select("line_id", norm_description(F.col("description")).alias("d")).withColumn("word", F.explode(F.array_distinct(F.split("d", " "))))
+    asked = needles.select("group_id", "needle", norm_description(F.col("needle")).alias("n"))
+    asked = asked.withColumn("word", F.array_max(F.transform(F.split("n", " "), lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"])
+    in_text = words.join(asked.where("n <> ''"), "word").where("contains(concat(' ', d, ' '), concat(' ', n, ' '))").select("group_id", "line_id")
+    by_section = lines.join(asked, F.col("section") == F.col("needle")).select("group_id", "line_id")
+    hits = in_text.unionByName(by_section).distinct().join(lines.select("line_id", "amount"), "line_id")
+    return hits.groupBy("group_id").agg(F.sum(F.col("amount").cast("decimal(18,6)")).cast("double").alias("total"), F.count(F.lit(1)).alias("n_lines"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures, text
 from ..functions.rounding import to_places
-from ..operators import classify, lookups, records, reports, search, units
+from ..operators import classify, lookups, records, reports, schedules, search, units
 from ..sources import files
 from ..sources.tables import load
 from ..streaming import latest as streams
@@ -485,6 +485,65 @@ def project_vote(spark: SparkSession, folder: str) -> DataFrame:
     return records.vote(voted, ["n_name"], "o_orderpriority")
 
 
+_TAGS = " ".join(f"when regexp_extract(upper(trim(equipment_tag)), '^([A-Z]+)', 1) = '{p}' then '{k}'" for p, k in schedules.EQUIPMENT_TAGS)
+_WORDS = " ".join(f"when contains(upper(description), '{w}') then '{k}'" for w, k in schedules.EQUIPMENT_WORDS)
+
+
+@query(f"select case {_TAGS} {_WORDS} else 'OTHER' end kind, equipment_type, count(*) n_rows from hvac_records group by 1, 2")
+def equipment_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "hvac_records").select(schedules.equipment_type(F.col("equipment_tag"), F.col("description")).alias("kind"), "equipment_type")
+    return rows.groupBy("kind", "equipment_type").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(f"""
+with m(k, section) as (values {", ".join(f"('{k}', '{v}')" for k, v in schedules.FINISH_SECTIONS.items())}),
+a as (select unnest([floor_finish, base_finish, ceiling_finish]) code from finish_records), c as (select upper(trim(code)) c from a where regexp_matches(upper(trim(code)), '^[A-Z]{{1,5}}[- ]?[0-9]*$'))
+select section, count(*) n_rows from c left join m on m.k = regexp_extract(c, '^([A-Z]+)', 1) group by 1
+""")
+def finish_sections(spark: SparkSession, folder: str) -> DataFrame:
+    codes = load(spark, folder, "finish_records").select(F.explode(F.array("floor_finish", "base_finish", "ceiling_finish")).alias("code"))
+    known = codes.where(measures.finish_code(F.col("code")).isNotNull())
+    return known.groupBy(schedules.finish_section(F.col("code")).alias("section")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("""
+with s as (select event_type source, strftime(ts, '%Y-%m-%d') period, arg_max("value", struct_pack(a := ts, b := event_id)) v from events where event_type <> 'click' group by 1, 2),
+o(source, r) as (values ('click', 0), ('purchase', 1), ('view', 2), ('signup', 3), ('error', 4)), f as (select source from s join o using (source) order by r limit 1),
+x as (select s.source, arg_max(v, period) filter (period <= '2024-01-05') v0, arg_max(v, period) filter (period <= '2024-01-25') v1 from s join f on s.source = f.source group by 1)
+select source, v0, v1, round((v1 / nullif(v0, 0))::decimal(18,6), 6)::double factor from x
+""")
+def macro_multiplier(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _series(spark, folder).where("series <> 'click'").withColumnRenamed("series", "source")
+    return lookups.first_source(rows, ["click", "purchase", "view", "signup", "error"], "2024-01-05", "2024-01-25")
+
+
+@query("""
+with c as (select description t, min(line_id) row_id, count(*) n, 0 r from price_sheet where description is not null group by 1 union all select csp_form_line, min(line_id), count(*), 1 from price_sheet where csp_form_line is not null group by 1),
+w as (select item_id wanted_id, regexp_replace(lower(description), '^.*: ', '') t from takeoff_template where list_name = 'line_items'),
+j as (select wanted_id, arg_min(row_id, r) filter (n = 1) row_id, max(n) most from w left join c on w.t = c.t group by 1)
+select row_id is not null found, case when row_id is not null then 'found' when most > 1 then 'ambiguous' else 'missing' end status, count(*) n_rows from j group by 1, 2
+""")
+def resolve_lines(spark: SparkSession, folder: str) -> DataFrame:
+    wanted = load(spark, folder, "takeoff_template").where("list_name = 'line_items'").select(F.col("item_id").alias("wanted_id"), F.regexp_replace(F.lower("description"), "^.*: ", "").alias("text"))
+    rows = load(spark, folder, "price_sheet").select(F.col("line_id").alias("row_id"), "description", "csp_form_line")
+    found = lookups.resolve_unique(wanted, rows, ["description", "csp_form_line"])
+    return found.groupBy(F.col("row_id").isNotNull().alias("found"), "status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_NEEDLES = [(1, "duct"), (1, "23 15 19"), (2, "air barrier"), (3, "conduit"), (3, "cable tray"), (4, "no such thing")]
+
+
+@query(f"""
+with n(group_id, needle) as (values {", ".join(f"({g}, '{n}')" for g, n in _NEEDLES)}),
+l as (select line_id, csi_section, trim(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g')) d, total_cost from price_sheet),
+h as (select distinct group_id, line_id, total_cost from n join l on csi_section = needle or contains(' ' || d || ' ', ' ' || needle || ' '))
+select group_id, sum(total_cost::decimal(18,6))::double total, count(*) n_lines from h group by 1
+""")
+def needle_sums(spark: SparkSession, folder: str) -> DataFrame:
+    lines = load(spark, folder, "price_sheet").select("line_id", F.col("csi_section").alias("section"), "description", F.col("total_cost").alias("amount"))
+    return lookups.sum_by_needles(lines, spark.createDataFrame(_NEEDLES, "group_id int, needle string"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
