@@ -103,18 +103,21 @@ def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float) -
             }).to_batches()
 
 
-def classes(records: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per word set of records (tab, id, text): tab, class_id (its smallest id), words. Sets of fewer words fall out."""
+def _keyed(records: DataFrame, least_words: int) -> DataFrame:
+    """tab, id, words, content (a SHA-256 of the words) of the records that take part."""
     sets = records.where("id is not null and text is not null").select("tab", "id", word_set(F.col("text")).alias("words")).where(F.size("words") >= least_words)
-    return sets.groupBy("tab", "words").agg(F.min("id").alias("class_id"))
+    return sets.withColumn("content", F.unhex(F.sha2(F.concat_ws(" ", "words"), 256)))
 
 
-def members(records: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """tab, class_id, id of every record in a class."""
-    sets = records.where("id is not null and text is not null").select("tab", "id", word_set(F.col("text")).alias("words")).where(F.size("words") >= least_words)
-    keyed = sets.select("tab", "id", "words")
-    firsts = keyed.groupBy("tab", "words").agg(F.min("id").alias("class_id"))
-    return keyed.join(firsts, ["tab", "words"]).select("tab", "class_id", "id").distinct()
+def classes(records: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per word set of records (tab, id, text): tab, content, class_id (its smallest id), words. Sets of fewer words fall out."""
+    return _keyed(records, least_words).groupBy("tab", "content").agg(F.min("id").alias("class_id"), F.first("words").alias("words"))
+
+
+def members(records: DataFrame, found: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """tab, class_id, id of every record in one of the classes `found`."""
+    keyed = _keyed(records, least_words).select("tab", "content", "id")
+    return keyed.join(found.select("tab", "content", "class_id"), ["tab", "content"]).select("tab", "class_id", "id").distinct()
 
 
 def frequencies(found: DataFrame) -> np.ndarray:
@@ -168,7 +171,7 @@ def near_duplicates(records: DataFrame, similarity: float = SIMILARITY, least_wo
     null ids take no part; a repeated row counts once. Empty inputs give empty results.
     """
     found = cut(classes(records, least_words))
-    return members(records, least_words), similar_classes(found, similarity)
+    return members(records, found, least_words), similar_classes(found, similarity)
 
 
 def record_pairs(records: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
