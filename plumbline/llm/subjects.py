@@ -34,18 +34,23 @@ LABELLED_DOCS = 20_000
 WORD_DOCS, WORD_LIFT, WORD_GAIN = 3, 2.0, 0.3
 #: Least share of sentences and least number of them that hold a rule's words; most words of a rule; least confidence.
 SUPPORT, SUPPORT_COUNT, RULE_WORDS, CONFIDENCE = 1e-4, 3, 3, 0.5
-#: Gain in confidence that a longer rule needs over a shorter one it contains.
-GAIN = 0.01
-#: An opening is two words that start at least this share of lines and sentences.
-OPENING, OPENING_COUNT = 2e-4, 3
+#: Gain in confidence that a longer rule needs over a shorter one it contains; sentences of doubt added to every rule; rounds
+#: in which sentences of documents with several subjects are given to one of them and rules counted again.
+GAIN, DOUBT, ROUNDS = 0.01, 1, 2
+#: How much surer a rule may be than a longer one that contains it and points elsewhere, and still be overruled.
+OVERRULED = 0.2
+#: An opening is two words that start at least this share of lines and sentences; the first may be any seldom word. In
+#: text all in capitals it must stand at a start at least this share of the times it occurs.
+OPENING, OPENING_COUNT, OPENING_ALONE = 2e-4, 3, 0.5
 #: A wording is one of passing mentions if it stands in this share of sentences and so rarely agrees with the rest.
-PASSING_SHARE, PASSING_COUNT, PASSING_AGREES, AGREES = 1e-4, 8, 0.2, 0.2
+PASSING_SHARE, PASSING_COUNT, PASSING_AGREES, AGREES = 1e-4, 8, 0.1, 0.2
 BINS = 10
 
 _LINE = re.compile(r"[\r\n\x0b\x0c\u0085\u2028\u2029]+")
 _END = re.compile(r"(?<=[.!?])[\"”’')\]]*\s+(?=[\"“‘(\[]*[^\Wa-z_]|[¿¡\-–—•*])")
-_INNER = re.compile(r"(?<=\s)(?=[^\Wa-z_]|[¿¡(\-–•*])(\S+)\s+(\S+)")
+_INNER = re.compile(r"(?<=\s)(?=[^\Wa-z_]|[¿¡(\-–•*])(?=(\S+)\s+(\S+))")
 _WORD = re.compile(r"[a-z]{3,}")
+_HEADER = re.compile(r"(?i)\s*(?:-+\s*page\s+\d+\s*-+|(?:subject|asunto|re|fw|fwd|to|from|cc|date)\s*:.{0,80})$")
 _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 
@@ -69,17 +74,29 @@ def stretches(text: str) -> Iterator[str]:
                 yield part.strip()
 
 
-def sentences(text: str | None, openings: set[tuple[str, str]]) -> list[str]:
-    """Sentences of a text: its stretches, cut again before an opening that stands inside one."""
+def _is_mark(part: str) -> bool:
+    """Page markers, mail headers and stray marks are no sentences: less than two words without an end of a sentence."""
+    return bool(_HEADER.match(part)) or (part[-1] not in ".!?;:" and len(_WORD.findall(plain(part))) < 2)
+
+
+def sentences(text: str | None, openings: dict[tuple[str, str], bool]) -> list[str]:
+    """Sentences of a text: its stretches, cut again before an opening that stands inside one, without page marks and headers.
+
+    openings: whether they stand almost only at starts, which is asked for in stretches all in capitals.
+    """
     found = []
     for part in stretches(text or ""):
-        last = 0
+        last, capitals = 0, part.isupper()
         for m in _INNER.finditer(part):
-            if _opening(m[1], m[2]) in openings and part[last : m.start()].strip():
+            first, second = _opening(m[1], m[2])
+            alone = openings.get((first, second))
+            if alone is None and not capitals and first[:1].isalpha():
+                alone = openings.get(("*", second))
+            if alone is not None and (alone or not capitals) and part[last : m.start()].strip():
                 found.append(part[last : m.start()].strip())
                 last = m.start()
         found.append(part[last:].strip())
-    return found
+    return [f for f in found if not _is_mark(f)]
 
 
 def words(sentence: str) -> frozenset[str]:
@@ -90,23 +107,31 @@ def words(sentence: str) -> frozenset[str]:
 class Rules:
     """What has been learnt: openings, words of rules, rules by their words, calibration."""
 
-    openings: set[tuple[str, str]] = field(default_factory=set)
+    openings: dict[tuple[str, str], bool] = field(default_factory=dict)
     inside: frozenset[str] = frozenset()
     rules: dict[tuple[str, ...], list[tuple[str, float]]] = field(default_factory=dict)
     calibration: list[float] = field(default_factory=lambda: [(i + 0.5) / BINS for i in range(BINS)])
 
-    def evidence(self, found: frozenset[str]) -> tuple[str, float] | None:
-        """Subject with the strongest evidence and its score: one minus the product of its best two rules' doubts."""
+    def matching(self, found: frozenset[str]) -> Iterator[tuple[tuple[str, ...], str, float]]:
+        """Rules whose words are all found: words, subject, confidence."""
         items = sorted(found & self.inside)
-        best: dict[str, list[float]] = {}
         for size in range(1, RULE_WORDS + 1):
             for chosen in combinations(items, size):
                 for subject, confidence in self.rules.get(chosen, ()):
-                    best.setdefault(subject, []).append(confidence)
+                    yield chosen, subject, confidence
+
+    def evidence(self, found: frozenset[str], among: set[str] | None = None) -> tuple[str, float] | None:
+        """Subject (of those in `among`) with the strongest evidence and its score: its best rule, on a tie the sum of all."""
+        matched = [m for m in self.matching(found) if among is None or m[1] in among]
+        best: dict[str, list[float]] = {}
+        for chosen, subject, confidence in matched:
+            part = set(chosen)
+            # a rule says nothing where a longer one that contains it says something else about as surely
+            if not any(len(c) > len(part) and s != subject and x >= confidence - OVERRULED and part < set(c) for c, s, x in matched):
+                best.setdefault(subject, []).append(confidence)
         if not best:
             return None
-        score = {s: max(c) + 1e-6 * sum(c) for s, c in best.items()}
-        subject = min(score, key=lambda s: (-score[s], s))
+        subject = min(best, key=lambda s: (-round(max(best[s]), 6), -sum(best[s]), s))
         return subject, min(max(best[subject]), 1.0)
 
     def subject(self, found: frozenset[str]) -> str | None:
@@ -120,8 +145,11 @@ def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("doc_id is not null and text is not null and trim(text) <> ''")
 
 
-def common_openings(texts: DataFrame) -> set[tuple[str, str]]:
-    """Pairs of words that often open a line or sentence; at most 1 / OPENING of them, however large the corpus."""
+def common_openings(texts: DataFrame) -> dict[tuple[str, str], bool]:
+    """Pairs of words that often open a line or sentence, and whether they seldom stand elsewhere.
+
+    At most 1 / OPENING of them, however large the corpus. ("*", word) stands for any seldom word before `word`.
+    """
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,8 +162,25 @@ def common_openings(texts: DataFrame) -> set[tuple[str, str]]:
 
     counted = cut(texts.select("text").mapInPandas(counts, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n")))
     whole = counted.agg(F.sum("n")).first()[0] or 0
-    often = counted.where((F.col("n") >= OPENING_COUNT) & (F.col("n") >= whole * OPENING) & (F.col("first") != ""))
-    return {(r[0], r[1]) for r in often.select("first", "second").collect()}
+    least = max(OPENING_COUNT, whole * OPENING)
+    often = {(r[0], r[1]): r[2] for r in counted.where((F.col("n") >= least) & (F.col("first") != "")).collect()}
+    seldom = counted.where((F.col("n") < least) & F.col("first").rlike("^[a-z]{4,}$") & F.col("second").rlike("^[a-z]{4,}$"))
+    anyone = seldom.groupBy("second").agg(F.sum("n").alias("n")).where(F.col("n") >= 5 * least)
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total: Counter[tuple[str, str]] = Counter()
+            for text in batch["text"]:
+                for part in stretches(text):
+                    tokens = _DIGITS.sub("0", plain(part)).split()
+                    total.update(p for p in zip(tokens[1:], tokens[2:]) if p in shared.value)
+            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["first", "second", "n"])
+
+    within = texts.select("text").mapInPandas(inside, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
+    elsewhere = {(r[0], r[1]): r[2] for r in within.collect()}  # only pairs that are openings
+    alone = {pair: n >= OPENING_ALONE * (n + elsewhere.get(pair, 0)) for pair, n in often.items()}
+    return alone | {("*", r[0]): False for r in anyone.collect()}
 
 
 def learn(texts: DataFrame, labels: DataFrame) -> Rules:
@@ -163,7 +208,7 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
     if not learnt.inside:
         return learnt
     known = F.array(*[F.lit(w) for w in sorted(learnt.inside)])
-    baskets = rows.select(F.array_intersect("words", known).alias("words"), "subjects").where(F.size("words") > 0)
+    baskets = rows.select("doc_id", F.array_intersect("words", known).alias("words"), "subjects").where(F.size("words") > 0).distinct()
     baskets = cut(baskets.select(F.concat("words", F.transform("subjects", lambda s: F.concat(F.lit("="), s))).alias("items")))
     support = max(SUPPORT, SUPPORT_COUNT / n)
     mined = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / baskets.count()), minConfidence=0.0).fit(baskets).freqItemsets
@@ -171,16 +216,43 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
     mined = cut(mined.where(F.size("words").between(1, RULE_WORDS) & (F.size("codes") <= 1)))
     plain_sets = mined.where(F.size("codes") == 0).select("words", F.col("freq").alias("n"))
     pointing = mined.where(F.size("codes") == 1).select("words", F.substring(F.col("codes")[0], 2, 100).alias("subject"), F.col("freq").alias("both"))
-    rules = pointing.join(plain_sets, "words").withColumn("confidence", F.col("both") / (F.col("n") + 1)).where(F.col("confidence") >= CONFIDENCE)
+    rules = pointing.join(plain_sets, "words").withColumn("confidence", F.col("both") / (F.col("n") + DOUBT)).where(F.col("confidence") >= CONFIDENCE)
     found = {(tuple(r.words), r.subject): r.confidence for r in rules.collect()}  # bounded by the sample and the support
     for (chosen_words, subject), confidence in sorted(found.items()):
         shorter = (found.get((part, subject), 0.0) for size in range(1, len(chosen_words)) for part in combinations(chosen_words, size))
         if all(confidence > other + GAIN for other in shorter):
             learnt.rules.setdefault(chosen_words, []).append((subject, confidence))
+    for _ in range(ROUNDS):
+        _recount(rows, learnt)
     learnt.calibration = _calibrated(rows, learnt)
     return learnt
 
 
+def _recount(rows: DataFrame, learnt: Rules) -> None:
+    """Confidence of every rule where each labelled sentence counts for the one subject of its document with most evidence."""
+    shared = rows.sparkSession.sparkContext.broadcast(learnt)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rules = shared.value
+        for batch in batches:
+            total: Counter[tuple[str, str]] = Counter()
+            hits: Counter[tuple[str, str]] = Counter()
+            for found, subjects in zip(batch["words"], batch["subjects"]):
+                found = frozenset(found)
+                told = rules.evidence(found, set(subjects))
+                for chosen, subject, _ in rules.matching(found):
+                    total[" ".join(chosen), subject] += 1
+                    hits[" ".join(chosen), subject] += bool(told) and told[0] == subject
+            yield pd.DataFrame([(*k, n, hits[k]) for k, n in total.items()], columns=["chosen", "subject", "n", "hits"])
+
+    counted = rows.select("words", "subjects").mapInPandas(count, "chosen string, subject string, n bigint, hits bigint").groupBy("chosen", "subject").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    fresh: dict[tuple[str, ...], list[tuple[str, float]]] = {}
+    for r in sorted(counted.collect(), key=lambda r: (r.chosen, r.subject)):  # one row a rule
+        if r.hits / (r.n + DOUBT) >= CONFIDENCE:
+            fresh.setdefault(tuple(r.chosen.split()), []).append((r.subject, r.hits / (r.n + DOUBT)))
+    learnt.rules = fresh
+
+
 def _calibrated(rows: DataFrame, learnt: Rules) -> list[float]:
     """Share of labelled sentences whose document bears the subject told, by bins of the score, made monotone."""
     shared = rows.sparkSession.sparkContext.broadcast(learnt)

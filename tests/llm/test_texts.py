@@ -154,8 +154,10 @@ def test_subjects_on_held_out_documents(spark):
 
 
 def test_sentences():
-    openings = {("photo", "0:"), ("reported", "again")}
+    openings = {("photo", "0:"): True, ("reported", "again"): True, ("the", "fan"): False, ("*", "quoted"): False}
     assert subjects.sentences("7.2 Sod - as shown Photo 5: slab (lab), looking north Reported again on day 3: wet. Next one.", openings) == [
         "7.2 Sod - as shown", "Photo 5: slab (lab), looking north", "Reported again on day 3: wet.", "Next one."
     ]
-    assert subjects.sentences(None, set()) == [] and subjects.words("Éa ábc 12") == {"abc"}
+    assert subjects.sentences("PLEASE CONFIRM WHETHER THE FAN GOVERNS PHOTO 5: SLAB", openings) == ["PLEASE CONFIRM WHETHER THE FAN GOVERNS", "PHOTO 5: SLAB"]
+    assert subjects.sentences("- slab: 5 EA, ref A24 The fan is wet, close-up Xerius quoted the slab", openings) == ["- slab: 5 EA, ref A24", "The fan is wet, close-up", "Xerius quoted the slab"]
+    assert subjects.sentences(None, {}) == [] and subjects.words("Éa ábc 12") == {"abc"}
