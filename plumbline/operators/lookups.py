@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import to_places
 from ..functions.similarity import cosine, sequence_ratio
 from ..functions.text import norm_description
+from .skew import top_rows
 
 #: A side is broadcast only below this many rows, counted first.
 BROADCAST_ROWS = 20_000
@@ -85,13 +86,14 @@ def fuzzy_plan(rows: DataFrame, lines: DataFrame, threshold: float = 0.75, margi
     pairs = a.join(b, "block").where("u is null or lu is null or u = lu")
     boost = F.when((F.col("lq") > 0) & (F.abs(F.col("q") - F.col("lq")) / F.greatest(F.col("lq"), F.lit(1e-9)) <= 0.05), 1.02).otherwise(1.0)
     scored = pairs.withColumn("sim", F.least(F.lit(1.0), to_places(sequence_ratio("a", "b") * boost, 4)))
-    ranked = scored.groupBy("row_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", (-F.col("line_id")).alias("minus"))), asc=False), 1, top).alias("found"))
+    ranked = top_rows(scored.select("row_id", "line_id", "sim"), ["row_id"], [F.desc("sim"), F.asc("line_id")], top)
+    ranked = ranked.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sim", "line_id"))).alias("found"))  # at most `top`
     best = F.col("found")[0]
     second = F.coalesce(F.try_element_at("found", F.lit(2))["sim"], F.lit(0.0))
     status = F.when(F.col("found").isNull(), "NO_MATCH").when(best["sim"] < threshold, "LOW_SIMILARITY").when((F.size("found") > 1) & (best["sim"] - second < margin), "AMBIGUOUS").otherwise("MATCHED")
     return a.select("row_id").join(ranked, "row_id", "left").select(
-        "row_id", status.alias("status"), (-best["minus"]).alias("line_id"), best["sim"].alias("similarity"), second.alias("runner_up"),
-        F.transform(F.coalesce("found", F.array().cast("array<struct<sim:double,minus:bigint>>")), lambda f: -f["minus"]).alias("candidates"),
+        "row_id", status.alias("status"), best["line_id"].alias("line_id"), best["sim"].alias("similarity"), second.alias("runner_up"),
+        F.coalesce(F.col("found.line_id"), F.array().cast("array<bigint>")).alias("candidates"),
     )
 
 
@@ -103,9 +105,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     """
     queries = vectors.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
     pairs = vectors.crossJoin(small_side(queries)).where("id <> query_id").select("query_id", "id", to_places(cosine(F.col("q"), F.col("vector")), 6).alias("score"))
-    block = pairs.withColumn("block", F.spark_partition_id()).groupBy("query_id", "block").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("minus"))), asc=False), 1, top).alias("best"))
-    final = block.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, top).alias("best"))
-    return final.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), (-F.col("b.minus")).alias("id"), "b.score")
+    return top_rows(pairs, ["query_id"], [F.desc("score"), F.asc("id")], top).select("query_id", "rank", "id", "score")
 
 
 OPENING_SF = {"door": 21.0, "window": 12.0}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import to_places
 from ..functions.similarity import token_set_ratio
+from .skew import top_rows
 
 
 def truthy(column: str, kind: str) -> Column:
@@ -140,7 +141,8 @@ def cluster_lines(df: DataFrame, page: str, x: str, y: str, text: str, reach: fl
 
 def replay(log: DataFrame, key: str, order: str, value: str, depth: int = 10) -> DataFrame:
     """State of an append-only log: current value, the value before (what a revert restores), and the last `depth` values."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v"))))
-    kept = log.groupBy(key).agg(rows.alias("rows"))
-    history = F.transform(F.slice("rows", F.greatest(F.lit(1), F.size("rows") - depth + 1), depth), lambda r: r["v"])
-    return kept.select(key, F.try_element_at("rows", F.lit(-1))["v"].alias("current"), F.try_element_at("rows", F.lit(-2))["v"].alias("before"), history.alias("history"), F.size("rows").alias("n_changes"))
+    counts = log.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_changes"))
+    newest = top_rows(log.select(key, F.col(order).alias("at"), F.col(value).alias("v")), [key], [F.desc("at")], max(2, depth))
+    kept = newest.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "v")), asc=False)["v"].alias("v"))  # at most `depth`, oldest first
+    state = kept.select(key, F.try_element_at("v", F.lit(-1)).alias("current"), F.try_element_at("v", F.lit(-2)).alias("before"), F.slice("v", F.greatest(F.lit(1), F.size("v") - depth + 1), depth).alias("history"))
+    return state.join(counts, key)

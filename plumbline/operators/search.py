@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from .skew import top_rows
 
 #: Words in more than this share of all texts carry no weight in candidate search; the score still counts them.
 COMMON = 0.02
@@ -33,5 +34,4 @@ def search(terms: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     asked = queries.select(F.col("id").alias("query_id"), "term", F.col("weight").alias("q"))
     met = asked.join(rare, "term").where("id <> query_id").select("query_id", "id").distinct()
     scored = met.join(asked, "query_id").join(terms.select("id", "term", "weight"), ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("score"))
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("id")).alias("minus"))), asc=False), 1, top).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).alias("rank"), (-F.col("b.minus")).alias("id"), F.round("b.score", 6).alias("score"))
+    return top_rows(scored, ["query_id"], [F.desc("score"), F.asc("id")], top).select("query_id", "rank", "id", F.round("score", 6).alias("score"))

@@ -1,8 +1,8 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins and rankings that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALT = "__salt"
@@ -19,3 +19,12 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], spread: str
     salted = rows.withColumn(SALT, F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
     copies = lookup.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, SALT], how).drop(SALT)
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
+    """The first `k` rows of each key in an order that leaves no ties, with their rank from 1.
+
+    A row_number below a limit is cut to `k` rows a key in every input partition before the shuffle, so a hot key
+    sends no more than any other.
+    """
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
