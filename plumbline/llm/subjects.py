@@ -96,7 +96,7 @@ def sentences(text: str | None, openings: dict[tuple[str, str], bool]) -> list[s
                 found.append(part[last : m.start()].strip())
                 last = m.start()
         found.append(part[last:].strip())
-    return [f for f in found if not _is_mark(f)]
+    return [f for f in found if f and not _is_mark(f)]
 
 
 def words(sentence: str) -> frozenset[str]:
@@ -207,9 +207,14 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
     learnt.inside = frozenset(r[0] for r in lifted.select("word").distinct().collect())  # words of the bounded sample
     if not learnt.inside:
         return learnt
-    known = F.array(*[F.lit(w) for w in sorted(learnt.inside)])
-    baskets = rows.select("doc_id", F.array_intersect("words", known).alias("words"), "subjects").where(F.size("words") > 0).distinct()
-    baskets = cut(baskets.select(F.concat("words", F.transform("subjects", lambda s: F.concat(F.lit("="), s))).alias("items")))
+    inside = texts.sparkSession.sparkContext.broadcast(learnt.inside)
+
+    def basket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = [(d, [w for w in x if w in inside.value], ["=" + s for s in c]) for d, x, c in zip(batch["doc_id"], batch["words"], batch["subjects"])]
+            yield pd.DataFrame([(d, w + c) for d, w, c in kept if w], columns=["doc_id", "items"])
+
+    baskets = cut(rows.mapInPandas(basket, "doc_id bigint, items array<string>").distinct().select("items"))
     support = max(SUPPORT, SUPPORT_COUNT / n)
     mined = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / baskets.count()), minConfidence=0.0).fit(baskets).freqItemsets
     mined = mined.select(F.sort_array(F.filter("items", lambda i: ~i.startswith("="))).alias("words"), F.filter("items", lambda i: i.startswith("=")).alias("codes"), "freq")
