@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import need
 
@@ -110,10 +111,14 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, lea
         start = end if forced and repeat is None else (repeat if repeat is not None else end)
 
 
-def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(key, n, s, f, e, forced, text[s:e]) for key, text in zip(batch["key"], batch["text"]) for n, (s, f, e, forced) in enumerate(split_text(text))]
-        yield pd.DataFrame(rows, columns=["key", "piece_no", "start", "new_from", "end", "forced", "piece"])
+_CUTS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("new_from", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("forced", T.BooleanType())]))
+
+
+@F.pandas_udf(_CUTS)
+def cuts_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Places of the pieces of each text; the texts themselves don't come back from Python."""
+    for texts in batches:
+        yield pd.Series([split_text(t) for t in texts], dtype=object)
 
 
 def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -123,8 +128,8 @@ def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
     none. Rows are independent; repeated keys repeat their pieces.
     """
     rows = need(df, key, text).select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null and text <> ''")
-    kind = dict(rows.dtypes)["key"]
-    return rows.mapInPandas(_split_batches, f"key {kind}, piece_no int, start int, new_from int, end int, forced boolean, piece string")
+    cut_up = rows.select("key", "text", F.posexplode(cuts_of("text")).alias("piece_no", "c"))
+    return cut_up.select("key", "piece_no", "c.*", F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("piece"))
 
 
 def how_cut(df: DataFrame, key: str, text: str) -> DataFrame:

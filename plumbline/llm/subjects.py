@@ -191,8 +191,10 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, list(s), sorted(words(x))) for d, t, s in zip(batch["doc_id"], batch["text"], batch["subjects"]) for x in sentences(t, shared.value)]
-            yield pd.DataFrame(rows, columns=["doc_id", "subjects", "words"])
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                rows = [(d, list(s), sorted(words(x))) for d, t, s in zip(part["doc_id"], part["text"], part["subjects"]) for x in sentences(t, shared.value)]
+                yield pd.DataFrame(rows, columns=["doc_id", "subjects", "words"])
 
     rows = cut(texts.join(chosen, "doc_id").mapInPandas(split, "doc_id bigint, subjects array<string>, words array<string>"))
     n = rows.count()
@@ -281,7 +283,7 @@ def told_sentences(texts: DataFrame, learnt: Rules) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(learnt)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules = shared.value
+        rules, columns = shared.value, ["doc_id", "n_sentences", "subject", "agrees", "context"]
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -289,7 +291,10 @@ def told_sentences(texts: DataFrame, learnt: Rules) -> DataFrame:
                 told = [rules.subject(p) for p in parts]
                 counts, others = Counter(t for t in told if t), max(1, len(parts) - 1)
                 rows += [(doc, len(parts), t, (counts[t] - 1) / others >= AGREES, sorted(p - rules.inside)) for p, t in zip(parts, told) if t]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_sentences", "subject", "agrees", "context"])
+                if len(rows) > 10_000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return texts.mapInPandas(judge, "doc_id bigint, n_sentences int, subject string, agrees boolean, context array<string>")
 
