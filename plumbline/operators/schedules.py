@@ -78,26 +78,46 @@ def row_maps(tables: DataFrame) -> DataFrame:
     return rows.select("table_id", "row_no", F.map_from_arrays(unique, padded).alias("cells"))
 
 
-def door_records(tables: DataFrame) -> DataFrame:
-    """Typed door records of door tables: table_id, row_no, mark, width_in, height_in, fire_rating; rows without a mark fall out."""
-    rows = tables.select("table_id", "headers", F.posexplode("rows").alias("row_no", "c"))
-    at = lambda words, without=(): cell(F.col("c"), column_at(F.col("headers"), words, without))
-    typed = rows.select(
-        "table_id", "row_no", at(("MARK", "DOOR", "NO")).alias("mark"), measures.feet_inches(at(("WIDTH",), ("FRAME",))).alias("width_in"),
-        measures.feet_inches(at(("HEIGHT",), ("FRAME",))).alias("height_in"), at(("RATING", "FIRE")).alias("fire_rating"),
-    )
-    return typed.where("mark is not null")
-
-
-def room_records(tables: DataFrame) -> DataFrame:
-    """Typed room records: table_id, row_no, room_number, room_name, area_sf, perimeter_ft, height_ft."""
+#: Fields of the records of each family. A field is (words of its header, words that rule a header out, kind);
+#: kinds are text, inches, feet, area, int, volts, phases, or a unit pattern before which the number stands (bare numbers count).
+FIELDS = {
+    "door": {"mark": (("MARK", "DOOR", "NO"), (), "text"), "door_type": (("TYPE",), ("FRAME",), "text"), "width_in": (("WIDTH",), ("FRAME",), "inches"), "height_in": (("HEIGHT",), ("FRAME",), "inches"), "thickness_in": (("THICKNESS", "THK"), (), "inches"), "material": (("MATERIAL", "MATL"), ("FRAME",), "text"), "frame": (("FRAME",), (), "text"), "hardware_set": (("HARDWARE", "HDWR", "HW"), (), "text"), "fire_rating": (("RATING", "FIRE"), (), "text")},
+    "window": {"mark": (("MARK", "WINDOW", "NO"), (), "text"), "width_in": (("WIDTH",), (), "inches"), "height_in": (("HEIGHT",), ("SILL", "HEAD"), "inches"), "sill_in": (("SILL",), (), "inches"), "glazing": (("GLAZING", "GLASS"), (), "text"), "operation": (("OPERATION", "TYPE"), (), "text")},
+    "finish": {"room_number": (("ROOM", "NO"), ("NAME",), "text"), "room_name": (("NAME",), (), "text"), "floor_finish": (("FLOOR",), (), "text"), "base_finish": (("BASE",), (), "text"), "wall_finish": (("WALL", "WALLS"), (), "text"), "ceiling_finish": (("CEILING", "CLG"), ("HT", "HEIGHT"), "text"), "height_ft": (("HT", "HEIGHT"), (), "feet")},
+    "room": {"room_number": (("ROOM", "NO"), ("NAME",), "text"), "room_name": (("NAME",), (), "text"), "area_sf": (("AREA",), (), "area"), "perimeter_ft": (("PERIMETER",), (), "lf|ft"), "height_ft": (("HT", "HEIGHT"), (), "feet")},
+    "panel": {"circuit": (("CIRCUIT", "CKT", "NO"), (), "text"), "breaker_amps": (("BREAKER", "AMPS", "TRIP"), (), "a|amp|amps"), "load": (("LOAD", "DESCRIPTION"), ("WATTS", "VA"), "text"), "load_watts": (("WATTS", "VA"), (), "w|va|watts")},
+    "lighting": {"tag": (("TYPE", "TAG", "MARK", "FIXTURE"), (), "text"), "description": (("DESCRIPTION",), (), "text"), "watts": (("WATTS", "WATTAGE"), (), "w|watts"), "lumens": (("LUMENS",), (), "lm|lumens"), "kelvin": (("KELVIN", "CCT"), (), "k"), "volts": (("VOLTAGE", "VOLTS"), (), "volts")},
+    "hvac": {"tag": (("TAG", "MARK", "UNIT"), (), "text"), "description": (("DESCRIPTION", "SERVICE"), (), "text"), "cfm": (("CFM", "AIRFLOW"), (), "cfm"), "hp": (("HP",), (), "hp"), "volts": (("VOLTAGE", "ELECTRICAL"), (), "volts"), "phase_count": (("PHASE", "VOLTAGE"), (), "phases"), "weight_lbs": (("WEIGHT",), (), "lb|lbs")},
+    "plumbing": {"tag": (("TAG", "MARK", "FIXTURE"), (), "text"), "description": (("DESCRIPTION",), (), "text"), "waste_in": (("WASTE",), (), "inches"), "vent_in": (("VENT",), (), "inches"), "cw_in": (("CW",), (), "inches"), "hw_in": (("HW",), (), "inches"), "gpf": (("GPF", "FLUSH"), (), "gpf")},
+    "kitchen": {"tag": (("ITEM", "NO", "TAG"), (), "text"), "description": (("DESCRIPTION", "EQUIPMENT"), (), "text"), "quantity": (("QTY", "QUANTITY"), (), "int"), "volts": (("VOLTAGE", "VOLTS"), (), "volts"), "btu": (("BTU", "GAS"), (), "btu|btuh|mbh"), "kw": (("KW",), (), "kw")},
+    "lab": {"tag": (("TAG", "MARK", "ITEM"), (), "text"), "description": (("DESCRIPTION", "CASEWORK"), (), "text"), "width_in": (("WIDTH",), (), "inches"), "depth_in": (("DEPTH",), (), "inches"), "height_in": (("HEIGHT",), (), "inches")},
+    "av": {"tag": (("TAG", "MARK", "DEVICE"), (), "text"), "description": (("DESCRIPTION",), (), "text"), "quantity": (("QTY", "QUANTITY"), (), "int"), "resolution": (("RESOLUTION",), (), "text"), "watts": (("POWER", "WATTS"), (), "w|watts")},
+    "security": {"tag": (("TAG", "MARK", "DEVICE"), (), "text"), "description": (("DESCRIPTION",), (), "text"), "quantity": (("QTY", "QUANTITY"), (), "int"), "resolution": (("RESOLUTION", "LENS"), (), "text"), "room": (("ROOM", "LOCATION"), (), "text")},
+}
+
+
+def _typed(text: Column, kind: str) -> Column:
+    if kind == "text":
+        return text
+    if kind == "inches":
+        return measures.feet_inches(F.when(text.rlike(r"^[0-9./ ]+$"), F.concat(text, F.lit('"'))).otherwise(text))
+    if kind == "int":
+        return F.regexp_extract(text, r"^\s*([0-9]+)", 1).try_cast("int")
+    simple = {"feet": measures.ceiling_feet, "area": measures.area, "volts": measures.voltage, "phases": measures.phases}
+    if kind in simple:
+        return simple[kind](text)
+    return measures.quantity_before(F.when(text.rlike(r"^[0-9.,]+$"), F.concat(text, F.lit(" " + kind.split("|")[0]))).otherwise(text), kind)
+
+
+def typed_records(tables: DataFrame, family: str) -> DataFrame:
+    """Records of a family's tables (table_id, headers, rows array<array<string>>): table_id, row_no and the family's fields.
+
+    Columns are found by their headers, in any order and under any of their names; cells that can't be read are null.
+    Rows without the family's first field (mark, tag, number) fall out.
+    """
     rows = tables.select("table_id", "headers", F.posexplode("rows").alias("row_no", "c"))
-    at = lambda words, without=(): cell(F.col("c"), column_at(F.col("headers"), words, without))
-    typed = rows.select(
-        "table_id", "row_no", at(("ROOM", "NO"), ("NAME",)).alias("room_number"), at(("NAME",)).alias("room_name"), measures.area(at(("AREA",))).alias("area_sf"),
-        measures.quantity_before(F.concat(at(("PERIMETER",)), F.lit(" LF")), "lf").alias("perimeter_ft"), measures.ceiling_feet(at(("HT", "HEIGHT"))).alias("height_ft"),
-    )
-    return typed.where("room_number is not null")
+    fields = [_typed(cell(F.col("c"), column_at(F.col("headers"), words, without)), kind).alias(name) for name, (words, without, kind) in FIELDS[family].items()]
+    return rows.select("table_id", "row_no", *fields).where(F.col(next(iter(FIELDS[family]))).isNotNull())
 
 
 def equipment_type(tag: Column, description: Column) -> Column:
