@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ COSINE, PART_STEP = 0.4, 3
 PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.6, 0.7
 #: Most words of all items together: they are held by the driver and each worker.
 ITEM_WORDS = 2_000_000
+#: Partial sums added up in one task.
+FAN_IN = 32
 SEED = 17
 
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*(?:\r\n|[\n\r\u0085\u2028\u2029\x0b\x0c])\s*(?=\w)")
@@ -154,7 +157,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _summed(passages: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
-    """Sum over all passages of a matrix of fixed shape: one partial sum a task, these summed in a few tasks, then in the driver."""
+    """Sum over all passages of a matrix of fixed shape: one partial sum a task, FAN_IN of them summed in one task, level by
+    level, until the driver adds the last FAN_IN."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = np.zeros(shape, dtype=np.float64), False
@@ -163,17 +167,18 @@ def _summed(passages: DataFrame, shape: tuple[int, ...], add: Callable[[np.ndarr
                 seen = True
                 add(total, _matrix(batch["passage"].iloc[at : at + 2000]))
         if seen:
-            yield pd.DataFrame({"part": [np.random.default_rng(len(batch)).integers(16)], "total": [total.tobytes()]})
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "total": [total.tobytes()]})
 
     def together(parts: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(shape, dtype=np.float64)
         for blob in parts["total"]:
             total += np.frombuffer(blob, dtype=np.float64).reshape(shape)
-        return pd.DataFrame({"total": [total.tobytes()]})
+        return pd.DataFrame({"part": [int(parts["part"].iloc[0]) // FAN_IN], "total": [total.tobytes()]})
 
-    partials = passages.select("passage").mapInPandas(partial, "part int, total binary")
-    sums = partials.groupBy("part").applyInPandas(together, "total binary").collect()  # at most 16 rows of fixed size
-    return sum((np.frombuffer(r.total, dtype=np.float64).reshape(shape) for r in sums), np.zeros(shape))
+    sums, left = passages.select("passage").mapInPandas(partial, "part int, total binary"), passages.rdd.getNumPartitions()
+    while left > FAN_IN:
+        sums, left = sums.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(together, "part int, total binary"), -(-left // FAN_IN)
+    return sum((np.frombuffer(r.total, dtype=np.float64).reshape(shape) for r in sums.collect()), np.zeros(shape))  # at most FAN_IN rows
 
 
 @dataclass

@@ -118,6 +118,16 @@ def test_leaks_are_those_of_brute_force(spark):
     assert leakage.leaks(corpus, "doc_id", "text", held.where("item_id = 99"), "item_id", "text").count() == 0
 
 
+def test_sums_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "FAN_IN", 3)
+    rows = spark.range(40).selectExpr("id doc_id", "array_repeat(cast(id as int), 24) passage").repartition(11)
+
+    def add(total, block):
+        total += block.sum(0)[:2]
+
+    assert leakage._summed(rows, (2,), add).tolist() == [780.0, 780.0]
+
+
 def test_words_and_subsequence():
     assert leakage.words("Roof-\n  ing 3/4 A­B​c\r\nself-perform") == ["roofing", "3", "4", "abc", "self", "perform"] and leakage.words(None) == []
     assert leakage.common_subsequence(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
