@@ -189,6 +189,7 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
     shared = texts.sparkSession.sparkContext.broadcast(learnt.openings)
     chosen = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCS)
 
+    # at most LABELLED_DOCS rows of an id and a few codes are broadcast, so no text is shuffled
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -196,7 +197,7 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
                 rows = [(d, list(s), sorted(words(x))) for d, t, s in zip(part["doc_id"], part["text"], part["subjects"]) for x in sentences(t, shared.value)]
                 yield pd.DataFrame(rows, columns=["doc_id", "subjects", "words"])
 
-    rows = cut(texts.join(chosen, "doc_id").mapInPandas(split, "doc_id bigint, subjects array<string>, words array<string>"))
+    rows = cut(texts.join(F.broadcast(chosen), "doc_id").mapInPandas(split, "doc_id bigint, subjects array<string>, words array<string>"))
     n = rows.count()
     if not n:
         return learnt
