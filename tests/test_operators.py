@@ -136,6 +136,22 @@ def test_search(spark):
     assert [(r.rank, r.id) for r in lookups.nearest(vectors, top=2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_search_is_exact(spark):
+    """Common terms and copies count: the same rows as comparing every query with every text."""
+    bodies = ["by others", "by owner", "match existing", "paint by others at lobby", "slab at lobby"]
+    docs = [(i, "by others" if i % 3 == 0 else f"{bodies[i % 5]} {i % 7}x {i % 11}y") for i in range(1, 151)]
+    terms = search.weighted_terms(spark.createDataFrame(docs, "id bigint, text string"))
+    weights: dict[int, dict[str, float]] = {}
+    for r in terms.collect():
+        weights.setdefault(r.id, {})[r.term] = r.weight
+    expected = []
+    for query in (50, 100, 150):
+        scored = sorted((-round(sum(w * weights[query].get(t, 0.0) for t, w in weights[i].items()), 9), i) for i in weights if i != query)
+        expected += [(query, n + 1, i, round(-s, 6)) for n, (s, i) in enumerate(scored[:5]) if s < 0]
+    got = [(r.query_id, r["rank"], r.id, r.score) for r in search.search(terms, terms.where("id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert len(got) == 15 and got == [(q, n, i, pytest.approx(s, abs=2e-6)) for q, n, i, s in expected]
+
+
 def test_reports(spark, rows, tmp_path):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 1.0), (None, None)], "k string, v double")
     assert rows(reports.totals_with_shares(df, "k", F.col("v"))) == [("a", 2, 3.0, 0.75), ("b", 1, 1.0, 0.25), (None, 1, 0.0, 0.0)]
