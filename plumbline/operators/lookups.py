@@ -64,12 +64,15 @@ def change_factor(series: DataFrame, wanted: DataFrame) -> DataFrame:
 def retire_covered(rows: DataFrame, made: DataFrame, row_id: str, owner: str, text: str, mark: str) -> DataFrame:
     """`rows` without those whose text names, as a whole token, a mark that `made` has for the same owner.
 
-    The tokens of a text are joined with the marks by equality (marks of one token, two characters or more), so
-    the anti-join needs no comparison of every pair.
+    The tokens of a text are joined with the longest token of each mark (marks of two characters or more) by
+    equality, then the whole mark is looked for, so the anti-join needs no comparison of every pair.
     """
-    marks = made.where(F.length(mark) >= 2).select(F.col(owner).alias("__owner"), F.lower(mark).alias("__token")).distinct()
-    tokens = rows.select(row_id, F.col(owner).alias("__owner"), F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("__token"))
-    covered = tokens.join(marks, ["__owner", "__token"], "left_semi").select(row_id).distinct()
+    parts = F.filter(F.split(F.lower(mark), "[^a-z0-9]+"), lambda t: t != "")
+    longest = F.array_max(F.transform(parts, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    marks = made.where(F.length(mark) >= 2).select(F.col(owner).alias("__owner"), F.lower(mark).alias("__mark"), longest.alias("__token")).distinct()
+    tokens = rows.select(row_id, F.col(owner).alias("__owner"), F.col(text).alias("__text"), F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("__token"))
+    whole = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("__mark"), F.lit(r"\E(?![a-z0-9])"))
+    covered = tokens.join(marks, ["__owner", "__token"]).where(F.regexp_like(F.lower("__text"), whole)).select(row_id).distinct()
     return rows.join(covered, row_id, "left_anti")
 
 

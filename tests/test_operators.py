@@ -118,6 +118,12 @@ def test_antijoin_and_plan(spark, rows):
     assert plan[1] == ("AMBIGUOUS", 10) and plan[2][0] == "LOW_SIMILARITY" and plan[3] == ("NO_MATCH", None)
 
 
+def test_antijoin_marks_with_punctuation(spark, rows):
+    lines = spark.createDataFrame([(1, "b", "Door A9.18 wood"), (2, "b", "door a9 and 18"), (3, "b", "door (101-a), new"), (4, "b", "door 101"), (5, "c", "door 101-A"), (6, "b", "door a9-18")], "id bigint, bid string, d string")
+    made = spark.createDataFrame([("b", "A9.18"), ("b", "101-A"), ("b", "--")], "bid string, mark string")
+    assert rows(lookups.retire_covered(lines, made, "id", "bid", "d", "mark").select("id")) == [(2,), (4,), (5,), (6,)]
+
+
 def test_geometry(spark, rows):
     rooms = spark.createDataFrame([("b", "1", 100.0, 44.0, 10.0), ("b", "2", 100.0, None, 9.0)], "bid_id string, room string, area_sf double, perimeter_ft double, height_ft double")
     doors = spark.createDataFrame([("b", "1", 36.0, 84.0), ("b", "1", None, None), ("b", "9", 36.0, 84.0)], "bid_id string, room string, width_in double, height_in double")
