@@ -9,6 +9,7 @@ items, a small fixed set; everything that grows with the corpus stays distribute
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -106,16 +107,16 @@ def run_hashes(passages: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def passages_of(ids: np.ndarray) -> np.ndarray:
-    """Passages of 2 * RUN ids (-2 past the end) of a text, those with fewer than RUN known words left out."""
-    if len(ids) < RUN:
+def passages_of(ids: np.ndarray, least: int = RUN) -> np.ndarray:
+    """Passages of 2 * RUN ids (-2 past the end) of a text, those with fewer than `least` known words left out."""
+    if len(ids) < least:
         return np.empty((0, 2 * RUN), dtype=np.int64)
     blocks = -(-len(ids) // RUN)
     padded = np.full((blocks + 1) * RUN, -2, dtype=np.int64)
     padded[: len(ids)] = ids
     grid = padded.reshape(-1, RUN)
     both = np.concatenate([grid[:-1], grid[1:]], axis=1)
-    return both[(both >= 0).sum(1) >= RUN]
+    return both[(both >= 0).sum(1) >= least]
 
 
 def _weights(passages: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,22 +268,25 @@ class Searcher:
                     yield self.items.ids[item], int(docs[row]), "verbatim", float(by_item[row, column[item]])
         if not self.paraphrases:
             return
-        for row, c in zip(*np.nonzero(by_item >= PARAPHRASE_COSINE)):
-            item = int(item_of[c])
-            if (row, item) in verbatim:
-                continue
-            mine = slice(self.starts[c], self.starts[c + 1] if c + 1 < len(self.starts) else len(self.owner))
-            part = self.rows[mine][int(np.argmax(cosine[row, mine]))]
-            numbers = part[self.items.numeric[part]]
-            if common_subsequence(part, passages[row]) >= PARAPHRASE_SHARE * RUN and np.isin(numbers, passages[row]).all():
-                yield self.items.ids[item], int(docs[row]), "paraphrase", float(by_item[row, c])
+        best: dict[tuple[int, int], float] = {}
+        pairs = np.argwhere(cosine >= PARAPHRASE_COSINE)
+        for at in range(0, len(pairs), 20_000):
+            near, part = pairs[at : at + 20_000].T
+            present = (self.rows[part][:, :, None] == passages[near][:, None, :]).any(2)
+            likely = (present.sum(1) >= PARAPHRASE_SHARE * RUN) & (present | ~self.items.numeric[self.rows[part]]).all(1)
+            for row, k in zip(near[likely].tolist(), part[likely].tolist()):
+                pair = (row, int(self.owner[k]))
+                if pair not in verbatim and cosine[row, k] > best.get(pair, -1.0) and common_subsequence(self.rows[k], passages[row]) >= PARAPHRASE_SHARE * RUN:
+                    best[pair] = float(cosine[row, k])
+        for (row, item), value in best.items():
+            yield self.items.ids[item], int(docs[row]), "paraphrase", value
 
     def _stands(self, run: np.ndarray, item: int) -> bool:
         text = self.items.texts[item]
         return any(np.array_equal(text[i : i + RUN], run) for i in np.flatnonzero(text[: len(text) - RUN + 1] == run[0]))
 
 
-def passages(corpus: DataFrame, key: str, text: str, items: Items) -> DataFrame:
+def passages(corpus: DataFrame, key: str, text: str, items: Items, least: int = RUN) -> DataFrame:
     """doc_id, passage (2 * RUN word ids, -1 for a word of no item) of every text."""
     vocabulary = corpus.sparkSession.sparkContext.broadcast(items.vocabulary)
 
@@ -291,7 +295,7 @@ def passages(corpus: DataFrame, key: str, text: str, items: Items) -> DataFrame:
         for batch in batches:
             docs, rows = [], []
             for doc, body in zip(batch["doc_id"], batch["text"]):
-                found = passages_of(np.array([known.get(w, -1) for w in words(body)], dtype=np.int64))
+                found = passages_of(np.array([known.get(w, -1) for w in words(body)], dtype=np.int64), least)
                 docs += [doc] * len(found)
                 rows.append(found)
                 if len(docs) > 20_000:
@@ -315,7 +319,7 @@ def leaks(corpus: DataFrame, key: str, text: str, heldout: DataFrame, item_key:
     schema = "item_id bigint, doc_id bigint, kind string, cosine double"
     if not any(len(t) >= RUN for t in items.texts):
         return spark.createDataFrame([], schema)
-    cut_up = cut(passages(corpus, key, text, items))
+    cut_up = cut(passages(corpus, key, text, items, math.ceil(PARAPHRASE_SHARE * RUN) if paraphrases else RUN))
     searcher = spark.sparkContext.broadcast((items, latent_space(cut_up, items)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -118,6 +118,40 @@ def test_leaks_are_those_of_brute_force(spark):
     assert leakage.leaks(corpus, "doc_id", "text", held.where("item_id = 99"), "item_id", "text").count() == 0
 
 
+def test_paraphrases_of_any_part_and_of_few_words(spark):
+    held = spark.createDataFrame([(1, "77 alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"), (2, "ant bee cat dog elk fox gnu hen ibex jay koi lion")], "item_id bigint, text string")
+    docs = [
+        (1, "alpha bravo charlie delta echo foxtrot zz golf hotel india juliet kilo lima"),  # its nearest part has a number, the next one none
+        (2, "ant bee cat dog yy elk fox gnu hen ibex"),  # 9 of the 12 words of the item, 10 in all
+        (3, "ant bee cat dog yy elk fox gnu hen"),
+    ]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", held, "item_id", "text")
+    assert {(r.item_id, r.doc_id, r.kind) for r in found.collect()} == {(1, 1, "paraphrase"), (2, 2, "paraphrase")}
+
+
+def test_paraphrases_are_those_of_brute_force():
+    rng = random.Random(4)
+    items = leakage.Items.of([(i, " ".join(rng.choice([f"w{chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 3))}", str(rng.randint(10, 99))]) if rng.random() < 0.3 else f"x{chr(97 + rng.randint(0, 25))}" for _ in range(rng.randint(12, 40)))) for i in range(20)])
+    size, blocks = len(items.vocabulary), []
+    for _ in range(300):
+        source = items.texts[rng.randrange(20)]
+        at = rng.randint(0, len(source) - 12)
+        body = [w for w in source[at : at + 24] if rng.random() > 0.15]
+        blocks.append((body + [-1] * 24)[:24])
+    passages = np.array(blocks, dtype=np.int64)
+    space = leakage.Space(np.ones(size), np.eye(size, dtype=np.float32))
+    use = leakage.Searcher(items, space, True)
+    cosine = leakage._unit(leakage._times(leakage._weights(passages, space.idf), 300, space.basis)) @ use.latent.T
+    got = list(use.search(np.arange(300), passages))
+    verbatim = {(i, d) for i, d, kind, _ in got if kind == "verbatim"}
+    expected = {
+        (items.ids[use.owner[k]], d)
+        for d, k in zip(*np.nonzero(cosine >= leakage.PARAPHRASE_COSINE))
+        if leakage.common_subsequence(use.rows[k], passages[d]) >= 8.4 and {w for w in use.rows[k] if items.numeric[w]} <= set(passages[d])
+    }
+    assert {(i, d) for i, d, kind, _ in got if kind == "paraphrase"} == expected - verbatim and len(expected - verbatim) > 50
+
+
 def test_sums_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(leakage, "FAN_IN", 3)
     rows = spark.range(40).selectExpr("id doc_id", "array_repeat(cast(id as int), 24) passage").repartition(11)
