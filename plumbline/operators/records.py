@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import to_places
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import first_leaders
+from ..functions.text import norm
 from .skew import top_rows
 
 
@@ -89,21 +90,18 @@ def fold_quantities(df: DataFrame, keys: Sequence[str], quantity: str, confidenc
 def leader_clusters(df: DataFrame, block: str, text: str, order: str, threshold: float) -> DataFrame:
     """Greedy clusters within a block: in order, a row joins the first leader at least so similar, else leads itself.
 
-    Equal texts are merged before, so a block holds distinct texts only; blocks must be narrow (first word and bid).
-    Result: block, text, leader.
+    Texts are compared in normalised form, those without letters and digits left out. A text is compared with every
+    leader of its block, unless bounds by their characters and shared words tell that they can't be similar enough.
+    Result: block, text, leader, both in the spelling they came in.
     """
-    distinct = df.groupBy(block, text).agg(F.min(order).alias("at"))
+    distinct = df.groupBy(block, text).agg(F.min(order).alias("at")).withColumn("__norm", norm(F.col(text))).where("__norm <> ''")
     kinds = dict(distinct.dtypes)
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[str] = []
-        chosen = []
-        for body in rows.sort_values(["at", text])[text]:
-            leader = next((x for x in leaders if token_set_ratio(x, body) >= threshold), None)
-            if leader is None:
-                leaders.append(body)
-            chosen.append((body, leader or body))
-        return pd.DataFrame([(rows[block].iloc[0], *c) for c in chosen], columns=[block, text, "leader"])
+        rows = rows.sort_values(["at", text])
+        firsts = rows.drop_duplicates("__norm")
+        led = dict(zip(firsts["__norm"], firsts[text].to_numpy()[first_leaders(list(firsts["__norm"]), threshold)]))
+        return pd.DataFrame({block: rows[block], text: rows[text], "leader": rows["__norm"].map(led)})
 
     return distinct.groupBy(block).applyInPandas(cluster, f"{block} {kinds[block]}, {text} string, leader string")
 

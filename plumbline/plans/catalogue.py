@@ -451,7 +451,7 @@ def override_history(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def scope_cluster(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "scope_items").where("trim(text) <> ''")
-    keyed = rows.select("scope_id", F.concat_ws("|", "bid_id", "scope_kind", F.substring_index(text.norm(F.col("text")), " ", 4)).alias("block"), "text")
+    keyed = rows.select("scope_id", F.concat_ws("|", "bid_id", "scope_kind").alias("block"), "text")
     return records.leader_clusters(keyed, "block", "text", "scope_id", 88.0)
 
 

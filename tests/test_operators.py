@@ -91,6 +91,26 @@ def test_clusters_and_lines(spark, rows):
     assert [(r.row_no, r.cells) for r in records.cluster_lines(words, "page", "x", "y", "t").orderBy("row_no").collect()] == [(0, ["a", "b"]), (1, ["c"]), (2, ["d"])]
 
 
+def test_leaders_are_those_of_the_plain_fold(spark, tmp_path):
+    """Edits at the start, other orders and spellings: as comparing each text with every leader."""
+    from plumbline.plans import catalogue
+
+    bodies = ["GC excludes sod repair at the north lawn of the school", "Contractor excludes sod repair at the north lawn of the school", "at the north lawn of the school, GC excludes sod repair", "Furnish roof drain", "FURNISH: roof drain!", "drian roof furnish", "by others", "paint by others", "equipment pad: wortotraern model 12", "equipment pad: wortotraern new model 12", "--"]
+    bodies += [f"{a} {b} {c} at lobby {n}" for a in ("install", "instal") for b in ("steel door", "stel door", "oak door") for c in ("frame", "frames") for n in (12, 13)]
+    rows = [(i, "b", "k", t) for i, t in enumerate(bodies)]
+    spark.createDataFrame(rows, "scope_id bigint, bid_id string, scope_kind string, text string").write.parquet(str(tmp_path / "scope_items.parquet"))
+    leaders, expected = [], {}
+    for t in bodies:
+        normed = " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+        if normed:
+            found = next(((x, y) for x, y in leaders if similarity.token_set_ratio(x, normed) >= 88.0), (normed, t))
+            if found[0] == normed and found not in leaders:
+                leaders.append(found)
+            expected[t] = found[1]
+    got = {r.text: r.leader for r in catalogue.queries()["scope_cluster"](spark, str(tmp_path)).collect()}
+    assert got == expected and got[bodies[1]] == bodies[0] and got[bodies[2]] == bodies[0]
+
+
 def test_replay(spark):
     log = spark.createDataFrame([("k", i, float(i)) for i in range(12)], "k string, at int, v double")
     r = records.replay(log, "k", "at", "v").first()
