@@ -1,8 +1,10 @@
 """Splitting of long texts at natural boundaries, with an overlap between consecutive pieces.
 
-A rolling hash over the text marks landmarks. Cuts snap from landmarks to the nearest natural boundary (page
-marker, then line end, sentence end, other white space) within a least and a greatest size, so an edit moves
-only the cuts near it. A stretch without white space that doesn't fit a piece is cut by force.
+Landmarks are the places whose rolling hash is the least within REACH characters on either side: which places they
+are is told by the text around them alone. Gaps too wide for a piece are divided again at the least hash inside
+them. Each cut snaps from its landmark to the nearest natural boundary (page marker, then line end, sentence end,
+other white space), so an edit moves only the cuts of the landmarks beside it and pieces further away stay as they
+are. A stretch without white space that doesn't fit a piece is cut by force.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import types as T
 
 from ..sources.tables import need
 
-#: Most characters in a piece, most characters of overlap with the piece before, and least new characters of a piece.
-LIMIT, OVERLAP, LEAST = 8000, 400, 2000
-#: One character in so many is a landmark; the hash looks at so many characters before it.
-LANDMARK_EVERY, HASH_SPAN = 1024, 32
+#: Most characters in a piece, most characters of overlap with the piece before.
+LIMIT, OVERLAP = 8000, 400
+#: A landmark has the least hash within so many characters on either side; the hash looks at so many before a place.
+REACH, HASH_SPAN = 2000, 32
+#: A boundary of a better kind is preferred this near a landmark.
+SNAP = 512
 
 _PAGE = re.compile(r"\n(?=--- PAGE \d+ ---)")
 _LINE = re.compile(r"[\n\r]+(?=[^\n\r])")
@@ -29,11 +33,11 @@ _SENTENCE = re.compile(r"[.!?…。][\"'”’)\]]*\s+(?=\S)")
 _SPACE = re.compile(r"\s+")
 
 
-def _landmarks(text: str) -> np.ndarray:
-    """Places whose hash of the HASH_SPAN characters before them is 0 modulo LANDMARK_EVERY, in one vectorised pass."""
+def _hashes(text: str) -> np.ndarray:
+    """Hash of the HASH_SPAN characters before each place from HASH_SPAN on, in one vectorised pass."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     if len(codes) < HASH_SPAN:
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64)
     codes = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     codes ^= codes >> np.uint64(29)
     base = np.uint64(0xBF58476D1CE4E5B9)
@@ -43,7 +47,45 @@ def _landmarks(text: str) -> np.ndarray:
             rolling = rolling[:-width] * power + rolling[width:]
             power = power * power
             width *= 2
-    return np.flatnonzero((rolling >> np.uint64(40)) % np.uint64(LANDMARK_EVERY) == 0) + HASH_SPAN
+    return rolling >> np.uint64(16)
+
+
+def _least_around(values: np.ndarray, reach: int) -> np.ndarray:
+    """Least of each value and the `reach` values before it and after it: minima from the edges of blocks inwards."""
+    width = 2 * reach + 1
+    highest = np.iinfo(values.dtype).max
+    padded = np.full(-(-(len(values) + 2 * reach) // width) * width, highest, dtype=values.dtype)
+    padded[reach : reach + len(values)] = values
+    blocks = padded.reshape(-1, width)
+    forth = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: len(values)], forth[width - 1 : width - 1 + len(values)])
+
+
+def _landmarks(text: str, reach: int, widest: int) -> np.ndarray:
+    """Places of the landmarks in order, gaps wider than `widest` divided where the hash inside them is least.
+
+    Of equal hashes within reach only the first counts.
+    """
+    hashes = _hashes(text)
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    found, last = [], -reach - 1
+    for place in np.flatnonzero(hashes == _least_around(hashes, reach)).tolist():
+        if place - last > reach or hashes[place] != hashes[last]:
+            found.append(place)
+            last = place
+    marks, at = [], 0
+    for place in [*(f + HASH_SPAN for f in found), len(text)]:
+        while place - at > widest:  # between reach from either end there is always a place: widest is more than twice reach
+            low, high = at + reach, min(at + widest, place - reach)
+            inside = hashes[max(0, low - HASH_SPAN) : max(0, high - HASH_SPAN) + 1]
+            at = low + int(np.argmin(inside)) if len(inside) else high
+            marks.append(at)
+        if place < len(text):
+            marks.append(place)
+            at = place
+    return np.array(marks, dtype=np.int64)
 
 
 def _boundaries(text: str) -> list[np.ndarray]:
@@ -61,7 +103,7 @@ def _nearest(places: np.ndarray, low: int, high: int, to: int) -> int | None:
     return int(inside[np.argmin(np.abs(inside - to))])
 
 
-def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, int, int, bool]]:
+def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, reach: int = REACH) -> list[tuple[int, int, int, bool]]:
     """(start, new_from, end, forced) of the pieces of a text: text[start:end] is a piece, at most `limit` long;
     text[start:new_from] repeats the end of the piece before, at most `overlap`; the parts from new_from on are
     the text without gap or repetition. forced: the cut at `end` falls inside a stretch without white space.
@@ -72,9 +114,12 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, lea
     if size <= limit:
         return [(0, 0, size, False)]
     kinds = _boundaries(text)
-    spaces, marks = kinds[-1], _landmarks(text)
+    spaces = kinds[-1]
     most = limit - overlap
-    least = min(least, most // 2)
+    snap = min(SNAP, most // 12)
+    reach = min(reach, most // 3)
+    least = max(1, reach - 2 * snap)
+    marks = _landmarks(text, reach, most - 2 * snap)
     pieces, at, start = [], 0, 0
     while True:
         if size - start <= limit:
@@ -82,12 +127,11 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, lea
             return pieces
         low, high = at + least, start + limit
         forced = False
-        near = _nearest(marks, low, min(high, at + most), at + most)
-        target = near if near is not None else min(high, at + most)
+        k = int(np.searchsorted(marks, low))
+        target = min(int(marks[k]) if k < len(marks) else size, at + most)
         end = None
-        reach = LANDMARK_EVERY // 2
         for places in kinds:  # the best kind of boundary near the landmark, else any in the whole span
-            end = _nearest(places, max(low, target - reach), min(high, target + reach), target)
+            end = _nearest(places, max(low, target - snap), min(high, target + snap), target)
             if end is not None:
                 break
         for places in kinds if end is None else []:
