@@ -31,6 +31,8 @@ SELDOM = 64
 FREQUENCY_BUCKETS = 1 << 20
 #: Segments of a fingerprint, four bits of a number each; counts beyond 15 count as 15, which keeps the bound.
 SEGMENTS = 16
+#: A cell of more sets is compared in parts, each of about so many sets against all of the cell.
+CELL = 20_000
 #: Most tables in one call.
 TABLES = 1000
 
@@ -44,10 +46,13 @@ def _least(share: float, n: np.ndarray) -> np.ndarray:
     return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float, parts: np.ndarray | None, large: int = CELL) -> Iterator[pa.RecordBatch]:
     """From tab_no, class_id, hashes (of the distinct words) the cells of each class: key, class_id, points, about.
 
-    about packs the table, the number of words and whether the cell also counts where the class is the smaller one.
+    about packs the table, the number of words, whether the row also counts where the class is the smaller one, and
+    whether it counts where it is the larger one. parts tells by hash bucket of the key in how many parts a cell is
+    compared: there, a set is the larger one in one of the parts and the smaller one in all. Without `parts` only the
+    keys come out of those cells whose words are frequent enough that they may have to be parted.
     """
     mask = np.int64(FREQUENCY_BUCKETS - 1)
     shifts = np.arange(SEGMENTS, dtype=np.int64) * 4
@@ -61,19 +66,39 @@ def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float) -
         owner = np.repeat(np.arange(len(n)), n)
         often = frequency[flat & mask]
         order = np.lexsort((flat, often, owner))
-        flat, seldom, start = flat[order], often[order] <= SELDOM, np.concatenate(([0], np.cumsum(n)[:-1]))
+        flat, often, start = flat[order], often[order], np.concatenate(([0], np.cumsum(n)[:-1]))
+        seldom = often <= SELDOM
         segment = (flat >> np.int64(24)) & np.int64(SEGMENTS - 1)
         counts = np.minimum(np.bincount(owner * SEGMENTS + segment, minlength=len(n) * SEGMENTS).reshape(len(n), SEGMENTS), 15).astype(np.int64)
         points = (counts << shifts).sum(1)
-        about = (tab << np.int64(32)) | (np.minimum(n, 0x3FFFFFFF) << np.int64(1))
-        keys, sets, short = [], [], []
+        about = (tab << np.int64(32)) | (np.minimum(n, 0x1FFFFFFF) << np.int64(2))
+        keys, sets, roles = [], [], []
 
-        def emit(chosen: np.ndarray, first: np.ndarray, second: np.ndarray | np.int64, is_short: np.ndarray) -> None:
+        def emit(chosen: np.ndarray, first: np.ndarray, second: np.ndarray | np.int64, is_short: np.ndarray, most: np.ndarray) -> None:
             with np.errstate(over="ignore"):
                 key = np.minimum(first, second) * np.int64(-7046029254386353131) + np.maximum(first, second) + tab[chosen] * np.int64(-4417276706812531889)
-            keys.append(key)
-            sets.append(chosen)
-            short.append(is_short)
+            if parts is None:
+                keys.append(key[most > large])
+                return
+            share = parts[key & mask]
+            whole = share <= 1
+            keys.append(key[whole])
+            sets.append(chosen[whole])
+            roles.append(is_short[whole].astype(np.int64) | np.int64(2))
+            if whole.all():
+                return
+            key, chosen, is_short, share = key[~whole], chosen[~whole], is_short[~whole], share[~whole]
+            with np.errstate(over="ignore"):
+                own = (class_id[chosen] * np.int64(-7046029254386353131) >> np.int64(33)) % share
+                keys.append(key + (own + np.int64(1)) * np.int64(-3335678366873096957))
+                sets.append(chosen)
+                roles.append(np.full(len(chosen), 2, dtype=np.int64))
+                key, chosen, share = key[is_short], chosen[is_short], share[is_short]
+                each = np.repeat(np.arange(len(share)), share)
+                part = np.arange(len(each)) - np.repeat(np.cumsum(share) - share, share)
+                keys.append(key[each] + (part + np.int64(1)) * np.int64(-3335678366873096957))
+            sets.append(chosen[each])
+            roles.append(np.ones(len(each), dtype=np.int64))
 
         longest, shortest = n - _least(t, n), n - _least(2 * t / (1 + t), n)
         by_two = np.flatnonzero(_least(t, n) <= PAIR_CELLS)  # a partner of at most PAIR_CELLS words is possible
@@ -83,23 +108,25 @@ def _cells(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, t: float) -
                 who = by_two[long2[by_two] > j]
                 at = start[who] + j
                 few = seldom[at]
-                emit(who[few], flat[at[few]], np.int64(2), short2[who[few]] > j)
+                emit(who[few], flat[at[few]], np.int64(2), short2[who[few]] > j, often[at[few]])
                 who, at = who[~few], at[~few]
                 for i in range(j):
                     other = start[who] + i
                     both = ~seldom[other]
-                    emit(who[both], flat[other[both]], flat[at[both]], short2[who[both]] > j)
+                    emit(who[both], flat[other[both]], flat[at[both]], short2[who[both]] > j, np.minimum(often[other[both]], often[at[both]]))
         by_one = np.flatnonzero((n > PAIR_CELLS) | (t * n <= 1 + 1e-9))  # many words, or so few that one shared word may do
         if len(by_one):
             long1, short1 = np.minimum(longest + 1, n), shortest + 1
             width = long1[by_one]
             who = np.repeat(by_one, width)
             i = np.arange(len(who)) - np.repeat(np.cumsum(width) - width, width)
-            emit(who, flat[start[who] + i], np.int64(1), short1[who] > i)
-        if keys:
+            emit(who, flat[start[who] + i], np.int64(1), short1[who] > i, often[start[who] + i])
+        if keys and parts is None:
+            yield from pa.table({"key": pa.array(np.concatenate(keys))}).to_batches()
+        elif keys:
             chosen = np.concatenate(sets)
             yield from pa.table({
-                "key": pa.array(np.concatenate(keys)), "class_id": pa.array(class_id[chosen]), "points": pa.array(points[chosen]), "about": pa.array(about[chosen] | np.concatenate(short).astype(np.int64)),
+                "key": pa.array(np.concatenate(keys)), "class_id": pa.array(class_id[chosen]), "points": pa.array(points[chosen]), "about": pa.array(about[chosen] | np.concatenate(roles)),
             }).to_batches()
 
 
@@ -133,23 +160,40 @@ def _manhattan(a: str, b: str) -> str:
     return " + ".join(f"abs((({a}.points >>> {s}) & 15) - (({b}.points >>> {s}) & 15))" for s in range(0, SEGMENTS * 4, 4))
 
 
-def similar_classes(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs of classes at least so similar: tab, class_a, class_b (a < b), shared, together (words)."""
+def _parts(hashed: DataFrame, frequency: np.ndarray, t: float, cell: int) -> np.ndarray:
+    """In how many parts the cells of each hash bucket of keys are compared: a table of fixed size.
+
+    A cell has no more sets than its rarer word occurs, so only cells of two words above `cell` are counted.
+    """
+    spark = hashed.sparkSession
+    if np.count_nonzero(frequency > cell) < 1:
+        return np.ones(FREQUENCY_BUCKETS, dtype=np.int64)
+    table = spark.sparkContext.broadcast(frequency)
+    keys = hashed.mapInArrow(lambda batches: _cells(batches, table.value, t, None, cell), "key bigint")
+    counted = keys.groupBy(F.expr(f"cast(key & {FREQUENCY_BUCKETS - 1} as int)").alias("bucket")).count().where(F.col("count") > cell)
+    rows = counted.select("bucket", F.ceil(F.col("count") / cell).alias("n")).toPandas()  # at most FREQUENCY_BUCKETS rows
+    parts = np.ones(FREQUENCY_BUCKETS, dtype=np.int64)
+    parts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return parts
+
+
+def similar_classes(found: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """Pairs of classes at least so similar: tab, class_a, class_b (a < b), shared, together (words).
+
+    Cells of more than `cell` sets are compared in parts, by as many tasks.
+    """
     spark = found.sparkSession
     tabs = sorted(r[0] for r in found.select("tab").distinct().limit(TABLES + 1).collect())
     if len(tabs) > TABLES:
         raise ValueError(f"more than {TABLES} tables")
-    table = spark.sparkContext.broadcast(frequencies(found))
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cells(batches, table.value, similarity)
-
     tab_no = F.coalesce(*[F.when(F.col("tab") == t, i) for i, t in enumerate(tabs)], F.lit(0)) if tabs else F.lit(0)
     hashed = found.select(tab_no.cast("bigint").alias("tab_no"), "class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    placed = hashed.mapInArrow(cells, "key bigint, class_id bigint, points bigint, about bigint").repartition("key")  # one exchange serves both sides
+    frequency = frequencies(found)
+    tables = spark.sparkContext.broadcast((frequency, _parts(hashed, frequency, similarity, cell)))
+    placed = hashed.mapInArrow(lambda batches: _cells(batches, tables.value[0], similarity, tables.value[1]), "key bigint, class_id bigint, points bigint, about bigint")
     a, b = placed.alias("a"), placed.alias("b")
-    n_a, n_b = "((a.about & 4294967295) >> 1)", "((b.about & 4294967295) >> 1)"
-    meet = f"""a.key = b.key and (b.about & 1) = 1 and (a.about >> 32) = (b.about >> 32)
+    n_a, n_b = "((a.about & 4294967295) >> 2)", "((b.about & 4294967295) >> 2)"
+    meet = f"""a.key = b.key and (a.about & 2) = 2 and (b.about & 1) = 1 and (a.about >> 32) = (b.about >> 32)
       and ({n_b} < {n_a} or ({n_b} = {n_a} and b.class_id < a.class_id)) and {n_b} >= {n_a} * {similarity!r} - 1e-9
       and {_manhattan("a", "b")} <= {(1 - similarity) / (1 + similarity)!r} * ({n_a} + {n_b}) + 1e-9"""
     pair = ["cast(a.about >> 32 as int) tab_no", "least(a.class_id, b.class_id) class_a", "greatest(a.class_id, b.class_id) class_b"]

@@ -7,6 +7,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("plumbline.llm")
 from plumbline.llm import neardup as N  # noqa: E402
@@ -60,3 +61,20 @@ def test_very_long_texts(spark):
     body = " ".join(f"n{i}" for i in range(6000))
     df = spark.createDataFrame([("a", 1, body), ("a", 2, body + " more"), ("a", 3, " ".join(f"m{i}" for i in range(6000)))], "tab string, id bigint, text string")
     assert [(r.id_a, r.id_b) for r in N.record_pairs(df).collect()] == [(1, 2)]
+
+
+def test_large_cells_are_compared_in_parts(spark):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(14)]
+    rows = [(i, " ".join([*rng.sample(common, 9), rng.choice(common[:3]) + "x"])) for i in range(400)]
+    found = N.classes(spark.createDataFrame([("t", *r) for r in rows], "tab string, id bigint, text string"))
+    sizes = found.count()
+    hashed = found.select(F.lit(0).cast("bigint").alias("tab_no"), "class_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    frequency = N.frequencies(found)
+    parts = N._parts(hashed, frequency, 0.7, 20)
+    assert parts.max() > 1
+    cells = hashed.mapInArrow(lambda batches: N._cells(batches, frequency, 0.7, parts), "key bigint, class_id bigint, points bigint, about bigint")
+    larger = cells.where("(about & 2) = 2").groupBy("key").count().agg(F.max("count")).first()[0]
+    assert larger <= 60 < sizes  # no part compares more than a few times the 20 sets asked for with the cell
+    plain = {(r.class_a, r.class_b) for r in N.similar_classes(found).collect()}
+    assert plain and {(r.class_a, r.class_b) for r in N.similar_classes(found, cell=20).collect()} == plain
