@@ -21,6 +21,26 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], spread: str
     return salted.join(copies, [*on, SALT], how).drop(SALT)
 
 
+#: A key is hot if it has more rows than this and than one in HOT_KEYS of all rows; so there are at most HOT_KEYS hot keys.
+HOT_ROWS, HOT_KEYS = 50_000, 500
+
+
+def counted_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `lookup`, which has one row per key and, in `count`, how many of `rows` have the key.
+
+    The lookup rows of hot keys are broadcast (at most HOT_KEYS of them, whatever the data), so a key with a third of
+    all rows stays spread over all tasks and is not shuffled; the other keys are shuffled. Without hot keys it is a
+    plain join. `how` is inner or left; null keys match nothing. `count` doesn't come out.
+    """
+    total, most = lookup.agg(F.sum(count), F.max(count)).first()
+    if not most or most <= HOT_ROWS:
+        return rows.join(lookup.drop(count), on, how)
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(lookup.where(F.col(count) > least).drop(count))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(lookup.where(F.col(count) <= least).drop(count), on, how)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first `k` rows of each key in an order that leaves no ties, with their rank from 1.
 
