@@ -20,8 +20,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_best(spark: SparkSession, folder: str) -> DataFrame:
     """One surviving record for each group of door or finish records."""
-    doors = survivor.best_records(load(spark, folder, "door_records"), survivor.DOORS)
-    return doors.unionByName(survivor.best_records(load(spark, folder, "finish_records"), survivor.FINISHES))
+    return survivor.best_records((load(spark, folder, "door_records"), survivor.DOORS), (load(spark, folder, "finish_records"), survivor.FINISHES))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
