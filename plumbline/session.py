@@ -45,3 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder (replicated storage there, not executor disks)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the checkpoint of a frame made by `cut` that nothing will read again, such as the last round's state."""
+    jvm = spark._jvm
+    file = df._jdf.queryExecution().analyzed()
+    if not file.getClass().getSimpleName() == "LogicalRDD":
+        return
+    place = file.rdd().getCheckpointFile()
+    if place.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(place.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
