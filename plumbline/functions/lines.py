@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import norm
-
-#: Words of drawing titles, and tokens that make a row a subtotal.
-TITLE_WORDS = ("FLOOR PLAN", "ROOF PLAN", "SITE PLAN", "FOUNDATION PLAN", "FRAMING PLAN", "REFLECTED CEILING", "ELEVATION", "SECTION", "SCHEDULE", "DETAIL", "ENLARGED PLAN", "DEMOLITION", "RISER DIAGRAM", "SINGLE LINE")
-SUBTOTALS = ("subtotal", "sub total", "total", "grand total", "sum", "tax", "sales tax", "freight", "balance")
+#: Words of drawing titles.
+TITLE_WORDS = (
+    "FLOOR PLAN", "ROOF PLAN", "SITE PLAN", "FOUNDATION PLAN", "FRAMING PLAN", "REFLECTED CEILING", "ELEVATION", "SECTION", "SCHEDULE", "DETAIL", "ENLARGED PLAN", "DEMOLITION",
+    "ELECTRICAL PLAN", "MECHANICAL PLAN", "PLUMBING PLAN", "RISER DIAGRAM", "SINGLE LINE",
+)
+#: What makes a row a subtotal.
+SUBTOTALS = ("subtotal", "sub total", "sub-total", "grand total", "total", "tax", "sales tax", "shipping", "freight", "handling")
 
 
 def title_line(text: Column) -> Column:
@@ -20,8 +22,9 @@ def title_line(text: Column) -> Column:
 
 def is_subtotal(text: Column) -> Column:
     """A row whose text is a subtotal word, or starts with one before a colon or equals sign."""
-    words = "|".join(w.replace(" ", "[ -]?") for w in SUBTOTALS)
-    return F.coalesce(norm(text).isin(*SUBTOTALS) | F.lower(text).rlike(rf"^\s*(?:{words})\s*[:=]"), F.lit(False))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s:=]+", " "), r"\s+", " "))
+    words = "|".join(SUBTOTALS)
+    return F.coalesce(F.regexp_replace(plain, "[:= ]+$", "").isin(*SUBTOTALS) | plain.rlike(rf"^(?:{words})(?: ?:| =)"), F.lit(False))
 
 
 def after_label(text: Column, label: str) -> Column:

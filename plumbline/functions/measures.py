@@ -100,9 +100,19 @@ def sheet_discipline(sheet: Column) -> Column:
 
 #: Disciplines by sheet prefix.
 DISCIPLINES = {
-    "A": "architectural", "S": "structural", "M": "mechanical", "E": "electrical", "P": "plumbing", "C": "civil", "L": "landscape",
-    "FP": "fire_protection", "FA": "fire_protection", "T": "technology", "I": "interior", "ID": "interior", "G": "general",
-}
+    "A": "Architectural",
+    "I": "Interior",
+    "S": "Structural",
+    "M": "Mechanical",
+    "E": "Electrical",
+    "P": "Plumbing",
+    "C": "Civil",
+    "L": "Landscape",
+    "F": "Fire Protection",
+    "FP": "Fire Protection",
+    "T": "Telecom",
+    "G": "General",
+}
 
 
 def alternate_id(text: Column) -> Column:

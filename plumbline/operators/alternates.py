@@ -7,16 +7,45 @@ from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..functions.text import norm
+from .classify import first_match
+from .families import has_any
 
 #: Tokens after `Alternate` that are headings, not ids.
-NOT_IDS = ("SECTION", "SCHEDULE", "FORM", "PAGE", "NOTE", "NOTES", "ITEM", "ITEMS", "ALTERNATE", "ALTERNATES", "PRICING", "PRICE", "PROPOSAL", "BID", "BIDS", "TABLE", "LIST", "OPTION", "OPTIONS", "DESCRIPTION", "AMOUNT", "TOTAL", "QUANTITY", "UNIT", "BIDDER")
+NOT_IDS = (
+    "SECTION", "SCHEDULE", "FORM", "PAGE", "NOTE", "NOTES", "ITEM", "ITEMS", "ALTERNATE", "ALTERNATES", "ALTERNATIVE", "ALTERNATIVES", "PRICING", "PRICE", "PROPOSAL", "PROPOSALS", "BID", "BIDS", "TABLE", "LIST",
+    "REQUEST", "REQUESTS", "OPTION", "OPTIONS", "ADDITION", "ADDITIONS", "DEDUCTION", "DEDUCTIONS", "DESCRIPTION", "DESC", "AMOUNT", "AMOUNTS", "TOTAL", "TOTALS", "QUANTITY", "UNIT", "BIDDER", "OFFEROR", "RESPONDENT",
+)
+#: Words by the type they tell, in the order in which they are tried.
+TYPE_WORDS = (
+    ("VE", ("value engineering", "value-engineering", "ve item", "ve-item", "ve proposal")),
+    ("SUBSTITUTION", ("substitute", "substitution", "alternate to", "in lieu of", "swap", "replace with")),
+    ("DEDUCTIVE", ("deduct", "deductive", "omit", "delete", "remove", "savings", "credit")),
+    ("ADDITIVE", ("add", "additive", "additional", "include")),
+)
+#: Words that tell a page of alternates.
+SECTION_WORDS = (
+    "bid alternate", "bid alternates", "add alternate", "deduct alternate", "deductive alternate", "additive alternate", "alternates", "alternative bid", "alternative bids", "alternative pricing", "alternate pricing",
+    "alternate proposal", "alternate price", "alternate item", "alternate add", "alternate deduct", "voluntary alternate", "voluntary alternates", "schedule of alternates", "section 01220", "section 01 22 00",
+    "section 01 23 00", "01 23 00 - alternates", "01 22 00 - alternates", "option no", "clin option", "value engineering", "ve item", "ve items", "ve alternate", "ve alternates", "ve proposal", "substitution alternate",
+    "alternate no.", "alternate #", "alt #", "alt no.",
+)
+SECTION_PATTERNS = (r"\boption\s+(?:no\.?\s*)?\d", r"\bclin\s+(?:option|alt)")
 LINE = r"(?i)^\s*(?:(?:add|deduct|deductive|additive|substitution)\s+)?(?:bid\s+alternates?|alternates?|alt|ve\s+item|ve)\b\.?[\s:#-]*(?:no\.?|number|#)?\s*([A-Za-z0-9][A-Za-z0-9.-]*)\s*[:.)\-–—]?\s*(.*)$"
 
 
 def alternate_type(text: Column) -> Column:
-    """VE, DEDUCTIVE, SUBSTITUTION or ADDITIVE by the words of a line, in this order."""
+    """VE, SUBSTITUTION, DEDUCTIVE or ADDITIVE by the words of a line, in this order; ADDITIVE without any."""
     low = F.lower(text)
-    return F.when(low.rlike(r"^\s*ve\b|value engineering"), "VE").when(low.rlike(r"\bdeduct"), "DEDUCTIVE").when(low.rlike(r"\bsubstitut|\bin lieu of\b"), "SUBSTITUTION").otherwise("ADDITIVE")
+    return first_match([(has_any(low, words), kind) for kind, words in TYPE_WORDS], "ADDITIVE")
+
+
+def tells_alternates(text: Column) -> Column:
+    """Does a page speak of bid alternates?"""
+    low = F.lower(text)
+    found = has_any(low, SECTION_WORDS)
+    for p in SECTION_PATTERNS:
+        found = found | low.rlike(p)
+    return F.coalesce(found, F.lit(False))
 
 
 def signed(amount: Column, kind: Column) -> Column:

@@ -76,6 +76,47 @@ def retire_covered(rows: DataFrame, made: DataFrame, row_id: str, owner: str, te
     return rows.join(covered, row_id, "left_anti")
 
 
+#: For each family the column of its section and what it starts with, whether a description alone may tell the
+#: family, and the rows of whole aggregates that made rows replace.
+FAMILIES = {
+    "door": ("csi_division", ("08",), False, r"^(hollow\s+metal|solid[\-\s]?core\s+wood|wood|steel|aluminum|glass)\s+doors?(\s*:?\s*\d+\s+ea)?\s*$|^doors?\s*\(type\s+unspecified\)\s*$"),
+    "window": ("csi_section", ("08 41", "08 44", "08 50", "08 51", "08 52", "08 53"), True, r"^(aluminum|vinyl|wood|steel|metal[\-\s]?clad|storefront|curtain\s*wall|glass)?\s*windows?(\s*:?\s*\d+\s+ea)?\s*$"),
+    "finish": ("csi_section", ("09 ", "06 64", "03 35"), True, r"^(?:carpet|tile|paint|vct|vinyl|hardwood|wood\s+floor(?:ing)?|polished\s+concrete|sealed\s+concrete|resilient\s+base|acoustic\s+ceiling|wallcovering|wall\s+covering|frp|gypsum\s+board|gyp\s+(?:bd|board)|interior\s+wall\s+painting|other\s+flooring)\b[^\n]*$"),
+    "panel": ("csi_section", ("26 24", "26 28"), True, None),
+    "lighting": ("csi_section", ("26 51", "26 55"), True, None),
+    "hvac": ("csi_section", ("23",), True, None),
+    "plumbing": ("csi_section", ("22",), True, None),
+    "kitchen": ("csi_section", ("11 40",), True, None),
+    "lab": ("csi_section", ("12 35", "11 53"), True, None),
+    "av": ("csi_section", ("27",), True, None),
+    "security": ("csi_section", ("28",), True, None),
+}
+
+
+def retire_family(rows: DataFrame, made: DataFrame, family: str, row_id: str, owner: str, text: str = "description", mark: str = "mark", aggregates: str | None = None) -> DataFrame:
+    """`rows` without those of a family that `made` rows of the same owner replace.
+
+    Only where an owner has made rows of the family do its family rows fall: those that name a made mark as a whole
+    token, and those whose text is an aggregate of the family (`aggregates`, a pattern without case; the fixed one of
+    the family by default, where there is one). Rows of other families and owners stay; a family is told by the start
+    of its section, or by an aggregate's text where FAMILIES says so.
+    """
+    column, prefixes, by_text, pattern = FAMILIES[family]
+    pattern = aggregates or pattern
+    section = F.coalesce(F.trim(column), F.lit(""))
+    inside = F.lit(False)
+    for p in prefixes:
+        inside = inside | section.startswith(p)
+    legacy = F.coalesce(F.trim(text).rlike("(?i)" + pattern), F.lit(False)) if pattern else F.lit(False)
+    of_family = inside | legacy if by_text else inside
+    covered = rows.where(of_family)
+    owners = made.select(owner).where(F.col(owner).isNotNull()).distinct()
+    kept = retire_covered(covered.where(~legacy), made, row_id, owner, text, mark)
+    gone = covered.where(legacy).join(owners, owner, "left_semi").select(row_id)
+    named = covered.where(~legacy).select(row_id).join(kept.select(row_id), row_id, "left_anti")
+    return rows.join(gone.unionByName(named), row_id, "left_anti")
+
+
 def fuzzy_plan(rows: DataFrame, lines: DataFrame, threshold: float = 0.75, margin: float = 0.05, top: int = 5) -> DataFrame:
     """Match plan of quote rows against cost lines of one block: best, runner-up, top candidates and status.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..functions.text import header_key
-from .classify import best_header_match, first_match
+from .classify import best_header_match
 
 #: Words of the headers of each kind of schedule, in the order in which ties are decided.
 VOCABULARIES = {
@@ -26,11 +26,6 @@ VOCABULARIES = {
     "av": ("DISPLAY", "SPEAKER", "PROJECTOR", "RESOLUTION", "RACK"),
     "security": ("CAMERA", "READER", "LENS", "ACCESS", "CONTACT"),
 }
-#: Type of equipment by its tag, then by words of its description.
-EQUIPMENT_TAGS = (("AHU", "AHU"), ("RTU", "RTU"), ("VAV", "VAV"), ("CH", "CHILLER"), ("B", "BOILER"), ("P", "PUMP"), ("EF", "FAN"), ("SF", "FAN"), ("F", "FAN"))
-EQUIPMENT_WORDS = (("AIR HANDL", "AHU"), ("ROOFTOP", "RTU"), ("TERMINAL", "VAV"), ("CHILLER", "CHILLER"), ("BOILER", "BOILER"), ("PUMP", "PUMP"), ("FAN", "FAN"))
-#: Finish categories by code, for section lookups.
-FINISH_SECTIONS = {"VCT": "09 65 19", "LVT": "09 65 19", "CPT": "09 68 13", "TILE": "09 30 13", "EP": "09 67 23", "RB": "09 65 13", "CB": "09 30 13", "WB": "06 22 00", "PT": "09 91 23", "WC": "09 72 00", "FRP": "09 77 20", "ACT": "09 51 13", "GYP": "09 29 00", "EXP": "09 91 23"}
 
 
 def schedule_kind(headers: Column) -> Column:
@@ -120,19 +115,6 @@ def typed_records(tables: DataFrame, family: str) -> DataFrame:
     return rows.select("table_id", "row_no", *fields).where(F.col(next(iter(FIELDS[family]))).isNotNull())
 
 
-def equipment_type(tag: Column, description: Column) -> Column:
-    """Type of equipment by the letters of its tag, else by its description, else OTHER."""
-    letters = F.regexp_extract(F.upper(F.trim(tag)), r"^([A-Z]+)", 1)
-    rules = [(letters == prefix, kind) for prefix, kind in EQUIPMENT_TAGS] + [(F.upper(description).contains(word), kind) for word, kind in EQUIPMENT_WORDS]
-    return first_match(rules, "OTHER")
-
-
-def finish_section(code: Column) -> Column:
-    """Section of a finish code by its category."""
-    table = F.create_map(*[F.lit(x) for pair in FINISH_SECTIONS.items() for x in pair])
-    return F.try_element_at(table, measures.finish_code(code)["category"])
-
-
 def record_confidence(mark: Column, kind: Column) -> Column:
     """.92 with mark and type, .80 with a mark, .60 with neither."""
     has = lambda c: F.trim(c) != ""

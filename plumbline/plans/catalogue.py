@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures, text
 from ..functions.rounding import to_places
-from ..operators import classify, lookups, records, reports, schedules, search, units
+from ..operators import classify, families, lookups, records, reports, search, units
 from ..sources import files
 from ..sources.tables import load
 from ..streaming import latest as streams
@@ -48,16 +48,32 @@ def page_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "bundles").select("bundle_id", F.coalesce(F.array_join(records.page_sample(F.coalesce("page_count", F.lit(0))), ","), F.lit("")).alias("pages"))
 
 
-def _any(column: str, phrases: tuple[str, ...]) -> str:
-    return "(" + " + ".join(f"contains({column}, '{p}')::int" for p in phrases) + ")"
+# The lists below are written out again, apart from those of the operators, so that the check doesn't lean on them.
+_PACKAGE = "BID PACKAGE|GENERAL INSTRUCTIONS TO BIDDERS|SPECIFIC INSTRUCTIONS TO BIDDERS|SPECIFIC INCLUSIONS|SPECIFIC EXCLUSIONS"
+_SOLICITATION = (
+    "REQUEST FOR PROPOSALS|REQUEST FOR PROPOSAL|REQUEST FOR QUOTATIONS|REQUEST FOR QUOTATION|REQUEST FOR QUOTE|REQUEST FOR COMPETITIVE SEALED PROPOSAL|RFCSP|SOLICITATION NUMBER|SOLICITATION NO.|SOLICITATION NO |OFFEROR|OFFERORS|"
+    "CONTRACTING OFFICER|SECTION L|SECTION M|STATEMENT OF WORK|SCOPE OF WORK|SAM.GOV|BETA.SAM.GOV|ELECTRONIC STATE BUSINESS DAILY|ESBD|SF 1442|SF-1442|STANDARD FORM 1442|SF 33|SF-33|STANDARD FORM 33|PERIOD OF PERFORMANCE|"
+    "MAGNITUDE OF CONSTRUCTION|PROJECT MAGNITUDE|NOTICE TO PROCEED"
+)
+_FORM = "BLANK BID FORM|BID FORM TEMPLATE|BID SCHEDULE|BID PROPOSAL FORM|PRICE SCHEDULE|PROPOSAL FORM|HUB SUBCONTRACTING PLAN|HSP GOOD FAITH EFFORT"
+_MANUAL = (
+    "GENERAL INSTRUCTIONS TO BIDDERS|QUESTIONNAIRE|PROJECT REQUIREMENTS|EXHIBIT|TABLE OF CONTENTS|INVITATION TO BID|WAGE DETERMINATION|DAVIS-BACON|DAVIS BACON|PREVAILING WAGE|GENERAL CONDITIONS|SUPPLEMENTARY GENERAL CONDITIONS|"
+    "UNIFORM GENERAL CONDITIONS|SAMPLE CONSTRUCTION SERVICES AGREEMENT|TAX EXEMPTION|TAX EXEMPT|AMENDMENT TO SOLICITATION|AMENDMENT NUMBER|SOLICITATION AMENDMENT"
+)
 
 
-@query(f"""
-with b as (select bundle_id, pdf_name, upper(coalesce(full_text, '')) u, coalesce(page_count, 0) pc, length(coalesce(full_text, '')) / greatest(coalesce(page_count, 0), 1) d from bundles)
-select bundle_id, case when regexp_matches(pdf_name, '{classify.DRAWING_NAME}') then 'unknown' when regexp_matches(pdf_name, '{classify.SUPPORT_NAME}') then 'project_manual'
-  when regexp_matches(pdf_name, '{classify.FORM_NAME}') then 'bid_form' when regexp_matches(pdf_name, '{classify.PACKAGE_NAME}') then 'bid_package'
-  when {_any("u", classify.FORM_PHRASES)} >= 1 then 'bid_form' when {_any("u", classify.PACKAGE_PHRASES)} >= 2 or {_any("u", classify.SOLICITATION_PHRASES)} >= 2 then 'bid_package'
-  when ({_any("u", classify.MANUAL_PHRASES)} >= 1 or regexp_matches(pdf_name, '{classify.MANUAL_NAME}')) and pc <= 500 and d > 600 then 'project_manual'
+def _any(column: str, phrases: str) -> str:
+    return f"len(list_filter(string_split('{phrases}', '|'), lambda p: contains({column}, p)))"
+
+
+@query(rf"""
+with b as (select bundle_id, pdf_name n, upper(coalesce(full_text, '')) u, coalesce(page_count, 0) pc, length(coalesce(full_text, '')) / greatest(coalesce(page_count, 0), 1) d from bundles)
+select bundle_id, case when regexp_matches(n, '(?i)(^|[_\-\s.])drawings?([_\-\s.]|$)') then 'unknown'
+  when regexp_matches(n, '(?i)wage[_\- ]determination|\bdol\b|davis[_\- ]bacon|prevailing[_\- ]wage|general[_\- ]conditions|_amd[_\- ]?[0-9]+|\bamendment\b|tax[_\- ]exemption|services[_\- ]agreement') then 'project_manual'
+  when regexp_matches(n, '(?i)blank bid form|bid[_\- ]schedule|\bhsp\b|subcontracting[_\- ]plan|attachment[_\- ]a\b') then 'bid_form'
+  when regexp_matches(n, '(?i)^[0-9]{{2}}[.\-][0-9]{{2}}[\s_\-]|^sol[_\-]|^esbd[_\-][0-9]+|\brfcsp\b|\brfp\b|^sow[_\-]|_solicitation_|notice[_\- ]of[_\- ]project') then 'bid_package'
+  when {_any("u", _FORM)} >= 1 then 'bid_form' when {_any("u", _PACKAGE)} >= 2 or {_any("u", _SOLICITATION)} >= 2 then 'bid_package'
+  when ({_any("u", _MANUAL)} >= 1 or regexp_matches(n, '(?i)(^|[_\-\s.])(project[_\-\s]*manual|project[_\-\s]*book|spec(ification)?s?)([_\-\s.]|$)')) and pc <= 500 and d > 600 then 'project_manual'
   when pc <= 3 and d > 400 then 'project_manual' else 'unknown' end kind
 from b
 """)
@@ -65,11 +81,12 @@ def document_classify(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "bundles").select("bundle_id", classify.document_kind(F.col("pdf_name"), F.col("full_text"), F.col("page_count")).alias("kind"))
 
 
-@query(
-    "with s as (select unnest(source_sheet_ids) sheet from takeoff_template), p as (select regexp_extract(upper(sheet), '^([A-Z]{1,2})', 1) l from s), "
-    "m(k, v) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in measures.DISCIPLINES.items()) + ") "
-    "select coalesce(a.v, b.v) discipline, count(*) n_sheets from p left join m a on a.k = l left join m b on b.k = left(l, 1) group by 1"
-)
+@query("""
+with s as (select unnest(source_sheet_ids) sheet from takeoff_template), p as (select regexp_extract(upper(sheet), '^([A-Z]{1,2})', 1) l from s),
+m(k, v) as (values ('A', 'Architectural'), ('I', 'Interior'), ('S', 'Structural'), ('M', 'Mechanical'), ('E', 'Electrical'), ('P', 'Plumbing'), ('C', 'Civil'), ('L', 'Landscape'), ('F', 'Fire Protection'),
+  ('FP', 'Fire Protection'), ('T', 'Telecom'), ('G', 'General'))
+select coalesce(a.v, b.v) discipline, count(*) n_sheets from p left join m a on a.k = l left join m b on b.k = left(l, 1) group by 1
+""")
 def sheet_disciplines(spark: SparkSession, folder: str) -> DataFrame:
     sheets = load(spark, folder, "takeoff_template").select(F.explode("source_sheet_ids").alias("sheet"))
     return sheets.groupBy(measures.sheet_discipline(F.col("sheet")).alias("discipline")).agg(F.count(F.lit(1)).alias("n_sheets"))
@@ -169,15 +186,18 @@ def uom_normalise(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(table), "alias", "left").select("row_id", "unit", to_places(F.col("factor"), 4).alias("factor"))
 
 
-@query("""
-with m as (select distinct bid_id, lower(s) mark from (select bid_id, unnest(source_sheet_ids) s from takeoff_template where list_name = 'rooms') where length(s) >= 2),
-t as (select item_id, bid_id, unnest(regexp_split_to_array(lower(notes), '[^a-z0-9]+')) token from takeoff_template where list_name = 'line_items' and notes is not null)
-select item_id from takeoff_template where list_name = 'line_items' and item_id not in (select t.item_id from t join m on t.bid_id = m.bid_id and t.token = m.mark)
+@query(r"""
+with m as (select distinct bid_id, lower(trim(mark)) mark from door_records where length(trim(mark)) >= 2), g as (select distinct bid_id from door_records),
+t as (select item_id, bid_id, coalesce(description, '') d, coalesce(csi_division, '') v from takeoff_template where list_name = 'line_items'),
+c as (select distinct t.item_id from t join m on t.bid_id = m.bid_id and v like '08%' and contains(lower(d), mark) and
+  regexp_matches(' ' || lower(d) || ' ', '[^a-z0-9]' || regexp_escape(mark) || '[^a-z0-9]')),
+l as (select t.item_id from t join g on t.bid_id = g.bid_id where v like '08%' and regexp_matches(trim(d), '(?i)^(hollow\s+metal|solid[\-\s]?core\s+wood|wood|steel|aluminum|glass)\s+doors?(\s*:?\s*[0-9]+\s+ea)?\s*$|^doors?\s*\(type\s+unspecified\)\s*$'))
+select item_id from t where item_id not in (select item_id from c union all select item_id from l)
 """)
 def family_antijoin(spark: SparkSession, folder: str) -> DataFrame:
-    rows = load(spark, folder, "takeoff_template")
-    made = rows.where("list_name = 'rooms'").select("bid_id", F.explode("source_sheet_ids").alias("mark"))
-    return lookups.retire_covered(rows.where("list_name = 'line_items'"), made, "item_id", "bid_id", "notes", "mark").select("item_id")
+    lines = load(spark, folder, "takeoff_template").where("list_name = 'line_items'")
+    made = load(spark, folder, "door_records").select("bid_id", F.trim("mark").alias("mark"))
+    return lookups.retire_family(lines, made, "door", "item_id", "bid_id").select("item_id")
 
 
 def _surfaces(spark: SparkSession, folder: str) -> DataFrame:
@@ -423,10 +443,11 @@ def voltage_parse(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
 select doc_id, case when not regexp_matches(text, '\\$\\s*_{2,}') then
   case when regexp_matches(text, '\\(\\s*\\$\\s*[0-9][0-9,]*(?:\\.[0-9]{1,2})?\\s*\\)') then -a else a end end delta
-from (select doc_id, text, try_cast(nullif(replace(regexp_extract(text, '\\$\\s*([0-9][0-9,]*(?:\\.[0-9]{1,2})?)', 1), ',', ''), '') as double) a from documents where contains(text, '$'))
+from (select doc_id, text, coalesce(try_cast(nullif(replace(regexp_extract(text, '\\$\\s*([0-9][0-9,]*(?:\\.[0-9]{1,2})?)', 1), ',', ''), '') as double),
+  try_cast(nullif(replace(regexp_extract(text, '([0-9][0-9,]*(?:\\.[0-9]{1,2})?)\\s+(?:[Uu][Ss][Dd])\\b', 1), ',', ''), '') as double)) a from documents)
 """)
 def money_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").where("contains(text, '$')").select("doc_id", measures.cost_delta(F.col("text")).alias("delta"))
+    return load(spark, folder, "documents").select("doc_id", measures.cost_delta(F.col("text")).alias("delta"))
 
 
 @query("""
@@ -455,13 +476,13 @@ def scope_cluster(spark: SparkSession, folder: str) -> DataFrame:
     return records.leader_clusters(keyed, "block", "text", "scope_id", 88.0)
 
 
-@query("""
-select item_id, trim(regexp_replace(regexp_replace(notes, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) visible, nullif(trim(regexp_extract(notes, '<title[^>]*>(.*?)</title>', 1)), '') title
-from takeoff_template where regexp_matches(notes, '<[a-z]+>') and not contains(notes, '&') and not contains(lower(notes), '<script')
+@query(r"""
+with a as (select item_id, notes, regexp_replace(regexp_replace(notes, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') t from takeoff_template),
+b as (select item_id, notes, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') t from a)
+select item_id, trim(regexp_replace(t, '\s+', ' ', 'g')) visible, nullif(trim(regexp_replace(regexp_extract(notes, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') title from b
 """)
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
-    rows = load(spark, folder, "takeoff_template").where(F.col("notes").rlike("<[a-z]+>") & ~F.col("notes").contains("&") & ~F.lower("notes").contains("<script"))
-    return rows.select("item_id", text.html_text(F.col("notes")).alias("visible"), text.html_title(F.col("notes")).alias("title"))
+    return load(spark, folder, "takeoff_template").select("item_id", text.html_text(F.col("notes")).alias("visible"), text.html_title(F.col("notes")).alias("title"))
 
 
 @query("""
@@ -485,35 +506,57 @@ def project_vote(spark: SparkSession, folder: str) -> DataFrame:
     return records.vote(voted, ["n_name"], "o_orderpriority")
 
 
-_TAGS = " ".join(f"when regexp_extract(upper(trim(equipment_tag)), '^([A-Z]+)', 1) = '{p}' then '{k}'" for p, k in schedules.EQUIPMENT_TAGS)
-_WORDS = " ".join(f"when contains(upper(description), '{w}') then '{k}'" for w, k in schedules.EQUIPMENT_WORDS)
+_HEADS = "AHU AHU, RTU RTU, VAV VAV, PUMP PUMP, BLR BOILER, BOILER BOILER, CHL CHILLER, CHR CHILLER, CHILLER CHILLER, CH CHILLER, SF FAN, EF FAN, RF FAN, FAN FAN, P PUMP, B BOILER, F FAN"
+_HEAD_ROWS = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(x.split() for x in _HEADS.split(", ")))
 
 
-@query(f"select case {_TAGS} {_WORDS} else 'OTHER' end kind, equipment_type, count(*) n_rows from hvac_records group by 1, 2")
+@query(f"""
+with p(r, k, v) as (values {_HEAD_ROWS}),
+h as (select record_id, equipment_type, upper(trim(coalesce(equipment_tag, ''))) t, upper(trim(coalesce(description, ''))) d from hvac_records),
+n as (select record_id, equipment_type, case when t = '' then d else t end raw, case when t = '' then '' else d end d from h),
+a as (select n.record_id, min(r) filter (regexp_split_to_array(raw, '[-_/\\s]')[1] = k) r1, min(r) filter (starts_with(raw, k) and not regexp_matches(substr(raw, length(k) + 1, 1), '[A-Z]')) r2,
+  min(r) filter (length(k) > 1 and contains(d, k)) r3 from n, p group by 1)
+select coalesce(x.v, y.v, z.v, 'OTHER') kind, equipment_type, count(*) n_rows from n join a using (record_id) left join p x on x.r = r1 left join p y on y.r = r2 left join p z on z.r = r3 group by 1, 2
+""")
 def equipment_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    rows = load(spark, folder, "hvac_records").select(schedules.equipment_type(F.col("equipment_tag"), F.col("description")).alias("kind"), "equipment_type")
+    rows = load(spark, folder, "hvac_records").select(families.item_type("hvac", F.col("equipment_tag"), F.col("description")).alias("kind"), "equipment_type")
     return rows.groupBy("kind", "equipment_type").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _sections_sql(column: str, rules: str, otherwise: str) -> str:
+    """A case of `WORD|WORD section; ...` over upper-case text."""
+    whens = " ".join(f"when regexp_matches(upper({column}), '{words}') then '{section}'" for words, section in (r.rsplit(" > ", 1) for r in rules.split("; ")))
+    return f"case {whens} else '{otherwise}' end"
+
+
+_FLOORS = "POL CONC|POL-CONC|POLISHED|SEAL CONC|SEAL-CONC|SEALED|SC|POL > 03 35 43; SHEET VINYL|SHT VINYL|SHEET > 09 65 16; VCT|VINYL|LVT|LVP > 09 65 19; CPT|CARPET > 09 68 13; TILE|CT|CER|PORC > 09 30 13; HW|WD|WOOD > 09 64 29"
+_BASES = "RB|RUBBER|RES|VB|TB > 09 65 13; CB|CER|CT > 09 30 13; WB|WOOD|WD > 09 64 33"
+_WALLS = "FRP > 06 64 00; WC|VWC|WALLCOVERING|WALL COVERING > 09 72 00; TILE|CT|CER|PORC > 09 30 13; PT|PAINT|EP > 09 91 23"
+_CEILINGS = "ACT|ACOUSTIC|ACP|ACOU > 09 51 13; EXPOSED|OPEN|EXP > 09 00 00; WD CEIL|WOOD > 09 64 29; GYP|GWB|GYP BD|GB > 09 29 00"
+
+
 @query(f"""
-with m(k, section) as (values {", ".join(f"('{k}', '{v}')" for k, v in schedules.FINISH_SECTIONS.items())}),
-a as (select unnest([floor_finish, base_finish, ceiling_finish]) code from finish_records), c as (select upper(trim(code)) c from a where regexp_matches(upper(trim(code)), '^[A-Z]{{1,5}}[- ]?[0-9]*$'))
-select section, count(*) n_rows from c left join m on m.k = regexp_extract(c, '^([A-Z]+)', 1) group by 1
+with w as (select record_id, room_number, room_name, unnest(map_entries(wall_finishes)) e from finish_records),
+a as (select record_id, room_number, room_name, 'floor' surface, floor_finish code from finish_records union all select record_id, room_number, room_name, 'base', base_finish from finish_records
+  union all select record_id, room_number, room_name, 'ceiling', ceiling_finish from finish_records union all select record_id, room_number, room_name, 'wall_' || e.key, e.value from w where e.key in ('ALL', 'N', 'S', 'E', 'W'))
+select record_id, surface, code, left(s, 2) division, s section, 0.0::double quantity, 'SF' unit,
+  case when coalesce(trim(room_number), '') <> '' or coalesce(trim(room_name), '') <> '' then 0.92::double else 0.8::double end confidence
+from (select *, case when surface = 'floor' then {_sections_sql("code", _FLOORS, "09 60 00")} when surface = 'base' then {_sections_sql("code", _BASES, "09 60 00")}
+  when surface = 'ceiling' then {_sections_sql("code", _CEILINGS, "09 50 00")} else {_sections_sql("code", _WALLS, "09 70 00")} end s from a where trim(code) <> '')
 """)
 def finish_sections(spark: SparkSession, folder: str) -> DataFrame:
-    codes = load(spark, folder, "finish_records").select(F.explode(F.array("floor_finish", "base_finish", "ceiling_finish")).alias("code"))
-    known = codes.where(measures.finish_code(F.col("code")).isNotNull())
-    return known.groupBy(schedules.finish_section(F.col("code")).alias("section")).agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = load(spark, folder, "finish_records").select("record_id", "room_name")
+    return families.finish_rows(_surfaces(spark, folder).join(rows, "record_id"))
 
 
 @query("""
-with s as (select event_type source, strftime(ts, '%Y-%m-%d') period, arg_max("value", struct_pack(a := ts, b := event_id)) v from events where event_type <> 'click' group by 1, 2),
+with s as (select event_type source, strftime(ts, '%Y-%m-%d') period, arg_max("value", struct_pack(a := ts, b := event_id)) v from events group by 1, 2),
 o(source, r) as (values ('click', 0), ('purchase', 1), ('view', 2), ('signup', 3), ('error', 4)), f as (select source from s join o using (source) order by r limit 1),
 x as (select s.source, arg_max(v, period) filter (period <= '2024-01-05') v0, arg_max(v, period) filter (period <= '2024-01-25') v1 from s join f on s.source = f.source group by 1)
 select source, v0, v1, round((v1 / nullif(v0, 0))::decimal(18,6), 6)::double factor from x
 """)
 def macro_multiplier(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _series(spark, folder).where("series <> 'click'").withColumnRenamed("series", "source")
+    rows = _series(spark, folder).withColumnRenamed("series", "source")
     return lookups.first_source(rows, ["click", "purchase", "view", "signup", "error"], "2024-01-05", "2024-01-25")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import alternates, schedules
+from plumbline.operators import alternates, families, schedules
 
 ROOMS = (1, ["ROOM #", "NAME", "AREA", "PERIMETER", "FLOOR", "BASE", "WALL", "CEILING", "CLG HT"], [["101", "Office", "180", "54", "VCT-1", "RB-1", "PT-1", "ACT-1", "9'-0\""], ["102", "Lobby", "240", "62", "TILE-1", "CB-1", "PT-2", "ACT-1", "10'-0\""]])
 DOORS = (2, ["MARK", "FRAME WIDTH", "WIDTH", "HEIGHT", "FIRE RATING"], [["101A", "x", "3'-0\"", "7'-0\"", "90 MIN"], ["-", "", "", "", ""]])
@@ -22,8 +22,8 @@ def test_rooms_and_doors(spark, rows):
 
 def test_rules(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(schedules.equipment_type(F.lit("RTU-147"), F.lit("x"))) == "RTU" and one(schedules.equipment_type(F.lit("Z-1"), F.lit("exhaust fan"))) == "FAN" and one(schedules.equipment_type(F.lit("Z"), F.lit("?"))) == "OTHER"
-    assert one(schedules.finish_section(F.lit("VCT-9"))) == "09 65 19" and one(schedules.record_confidence(F.lit("1"), F.lit(""))) == 0.8
+    assert one(families.item_type("hvac", F.lit("RTU-147"), F.lit("x"))) == "RTU" and one(families.item_type("hvac", F.lit("Z-1"), F.lit("exhaust fan"))) == "FAN" and one(families.item_type("hvac", F.lit("Z"), F.lit("?"))) == "OTHER"
+    assert one(families.by_words(F.lit("VCT-9"), families.FLOOR_SECTIONS)) == "09 65 19" and one(schedules.record_confidence(F.lit("1"), F.lit(""))) == 0.8
     assert one(schedules.dominant(F.array(*map(F.lit, ["window", "door", "room", "hvac"])))) == ["door", "hvac"]
     assert one(schedules.prepass_score([F.lit(True)] * 4 + [F.lit(False)])) == pytest.approx(0.85)
     panels = spark.sql("select 'P1' panel, array(named_struct('breaker_amps', 20), named_struct('breaker_amps', 20), named_struct('breaker_amps', cast(null as int))) circuits")
