@@ -83,6 +83,10 @@ def one_spelling(text: Column, kind: str) -> Column:
     return F.nullif(zeroed, F.lit(""))
 
 
+#: A text of nothing but blanks and at most one stand-in.
+_UNKNOWN = r"(?i)^[\s\x{a0}]*(?:" + "|".join(re.escape(s).replace("\\ ", r"[\s\x{a0}]+") for s in STAND_INS if s) + r")?[\s\x{a0}]*$"
+
+
 def filled_text(name: str, kind: T.DataType) -> Column:
     """Text of a field, null where it is null, blank, empty or a stand-in for an unknown value."""
     column = F.col(f"`{name}`")
@@ -94,7 +98,7 @@ def filled_text(name: str, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.when(column.isNotNull() & ~F.isnan(column), column.cast("string"))
     text = column.cast("string")
-    return F.when(~F.lower(F.trim(F.regexp_replace(text, r"[\s\x{a0}]+", " "))).isin(*STAND_INS), text)
+    return F.when(~text.rlike(_UNKNOWN), text)
 
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -331,7 +335,7 @@ def best_records(*tables: tuple[DataFrame, Spec]) -> DataFrame:
     """
     keys = ["tab", "bid_id", "key", "part"]
     width = 1 + max(len(spec.fields) for _, spec in tables)
-    rows = _parted(reduce(DataFrame.unionByName, [_rows(df, spec, width) for df, spec in tables]))
+    rows = _parted(cut(reduce(DataFrame.unionByName, [_rows(df, spec, width) for df, spec in tables])))  # keys and texts are made once
     ids = rows.groupBy(*keys).agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"), F.count(F.lit(1)).alias("n")).where("last_id > first_id").drop("last_id")
     members = cut(counted_lookup(rows, ids, keys, "n").select("tab", "first_id", "record_id", "texts", "latest", "page", "weight"))
     filled = F.size(F.filter(F.slice("texts", 2, width), lambda t: t.isNotNull()))
