@@ -50,3 +50,34 @@ def test_edges(spark):
     cleaned = R.clean(df, R.residue(R.field_rows(df, "t", "id", ["notes"], "bid")), "t", "id", "notes")
     assert {r.id: r.notes for r in cleaned.orderBy("id").collect()} == {1: None, 2: "fine"}
     assert R.message_form(F.lit("x")) is not None
+
+
+HELD_OUT = (  # written apart from the rules, as such texts stand in forms, on pages and in real remarks
+    "[Project name]", "{name}", "<INSERT>", "Your browser does not support JavaScript", "The requested URL was not found on this server.", "Oops! Something went wrong", "Page not available",
+    "{client.address}", "[Contact phone]", "<Vendor name>", "{{ rate | default }}", "This page has moved.", "The server is currently unavailable", "503 Service Unavailable", "Access denied", "An error occurred, try again later",
+    "Please enable JavaScript in your browser", "Lorem ipsum dolor sit amet", "Error 404", "HTTP status 500", "We're sorry, something went wrong", "site can't be reached", "[enter date]", "${project.county}",
+)
+REAL = (
+    "Room 214 not found during survey", "Panel 3 gone, replace in kind", "Freight elevator temporarily unavailable until June", "Visitors sign in again after lunch", "This site is not level at the north end",
+    "Room 404 not found on the plan", "Panel 503 service unavailable during shutdown", "Owner denied access to the roof", "Sample of stone approved by architect", "Crew signs in at gate 4", "Enter from the dock side only",
+    "Roof drain not found at grid C", "Elevator under repair, use stair 2", "Insert plates by others", "Contractor name painted on hoarding", "Page 12 of the specs governs", "See sheet A-404 for detail", "Type X board at shaft",
+    "Connection to existing main by utility", "Request for substitution approved", "Access panel denied by inspector, relocated", "Server racks by owner", "Template for bolts by fabricator", "Time out of service: 4 hours",
+    "[Room 12 only]", "Scripted signage letters, 4 in high", "Replace door closers, 404 in all", "Add 3 coats at 500 sf per gal", "Temporarily support beam before cutting", "Site unavailable to trucks before 7 am",
+)
+
+
+def test_held_out_phrases(spark):
+    texts = [*HELD_OUT, *REAL]
+    found = {texts[r.row_id] for r in R.residue(frame(spark, texts)).collect()}
+    hits = len(found & set(HELD_OUT))
+    assert hits >= 0.9 * len(HELD_OUT) and hits >= 0.9 * len(found), (set(HELD_OUT) - found, found & set(REAL))
+
+
+def test_a_weak_cue_needs_recurrence(spark):
+    text = "the portal was currently unavailable to bidders"
+    rows = [(i, f"b{i % 3}", text) for i in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, bid string, notes string")
+    assert R.residue(R.field_rows(df, "t", "id", ["notes"], "bid")).count() == 4
+    assert R.residue(R.field_rows(df.where("id = 1"), "t", "id", ["notes"], "bid")).count() == 0
+    remark = spark.createDataFrame([(i, f"b{i % 3}", "freight elevator temporarily unavailable until june") for i in range(9)], "id bigint, bid string, notes string")
+    assert R.residue(R.field_rows(remark, "t", "id", ["notes"], "bid")).count() == 0
