@@ -1,7 +1,8 @@
 """Subject areas of documents by class-association rules.
 
-Sentences are split with the help of how sentences open in the corpus itself. Frequent sets of words and subject
-codes are mined from labelled documents with parallel FP-growth; sets of words that point to a subject become
+Sentences are split with the help of how sentences open in the corpus itself. Frequent sets of up to RULE_WORDS words
+and their subject codes are mined from labelled documents with parallel FP-growth: each shard of words grows patterns
+from the transactions that end in one of its words, and stops at that length. Sets that point to a subject become
 rules, those that a shorter rule makes redundant are dropped, and the evidence of a sentence's matching rules is
 calibrated against the labels. Wordings in which subjects are mentioned only in passing are learnt from all
 documents: there, the subject found disagrees with the rest of the document. A document deals with a subject if
@@ -15,10 +16,10 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,10 @@ OPENING, OPENING_COUNT, OPENING_ALONE = 2e-4, 3, 0.5
 #: A wording is one of passing mentions if it stands in this share of sentences and so rarely agrees with the rest.
 PASSING_SHARE, PASSING_COUNT, PASSING_AGREES, AGREES = 1e-4, 8, 0.1, 0.2
 BINS = 10
+#: Shards of words among which patterns are grown.
+SHARDS = 48
+#: Verdicts on word sets that a worker keeps; when there are more it starts anew.
+KEPT_SETS = 200_000
 
 _LINE = re.compile(r"[\r\n\x0b\x0c\u0085\u2028\u2029]+")
 _END = re.compile(r"(?<=[.!?])[\"”’')\]]*\s+(?=[\"“‘(\[]*[^\Wa-z_]|[¿¡\-–—•*])")
@@ -55,13 +60,23 @@ _DIGITS = re.compile(r"\d+")
 _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
+@lru_cache(maxsize=1)
+def _combining() -> re.Pattern[str]:
+    """All combining marks, by their ranges."""
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    ends = [c for c in marks if not unicodedata.combining(chr(c + 1))]
+    starts = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    return re.compile("[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends)) + "]")
+
+
 def plain(text: str) -> str:
     """Lower case without accents and invisible characters."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", _INVISIBLE.sub("", text).lower()) if not unicodedata.combining(c))
+    return _combining().sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text).lower()))
 
 
+@lru_cache(maxsize=100_000)
 def _opening(first: str, second: str) -> tuple[str, str]:
     return _DIGITS.sub("0", plain(first)), _DIGITS.sub("0", plain(second))
 
@@ -111,6 +126,10 @@ class Rules:
     inside: frozenset[str] = frozenset()
     rules: dict[tuple[str, ...], list[tuple[str, float]]] = field(default_factory=dict)
     calibration: list[float] = field(default_factory=lambda: [(i + 0.5) / BINS for i in range(BINS)])
+    kept: dict[frozenset[str], str | None] = field(default_factory=dict, compare=False)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "kept": {}}
 
     def matching(self, found: frozenset[str]) -> Iterator[tuple[tuple[str, ...], str, float]]:
         """Rules whose words are all found: words, subject, confidence."""
@@ -136,8 +155,15 @@ class Rules:
 
     def subject(self, found: frozenset[str]) -> str | None:
         """The subject of a sentence, if its calibrated probability is at least a half."""
-        told = self.evidence(found)
-        return told[0] if told and self.calibration[min(int(told[1] * BINS), BINS - 1)] >= 0.5 else None
+        inside = found & self.inside
+        if inside in self.kept:
+            return self.kept[inside]
+        told = self.evidence(inside)
+        if len(self.kept) >= KEPT_SETS:
+            self.kept.clear()
+        verdict = told[0] if told and self.calibration[min(int(told[1] * BINS), BINS - 1)] >= 0.5 else None
+        self.kept[inside] = verdict
+        return verdict
 
 
 def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,10 +197,10 @@ def common_openings(texts: DataFrame) -> dict[tuple[str, str], bool]:
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             total: Counter[tuple[str, str]] = Counter()
+            known = shared.value
             for text in batch["text"]:
-                for part in stretches(text):
-                    tokens = _DIGITS.sub("0", plain(part)).split()
-                    total.update(p for p in zip(tokens[1:], tokens[2:]) if p in shared.value)
+                tokens = _DIGITS.sub("0", plain(" \0 ".join(stretches(text)))).split()
+                total.update((y, z) for x, y, z in zip(tokens, tokens[1:], tokens[2:]) if (y, z) in known and x != "\0")
             yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["first", "second", "n"])
 
     within = texts.select("text").mapInPandas(inside, "first string, second string, n bigint").groupBy("first", "second").agg(F.sum("n").alias("n"))
@@ -194,38 +220,24 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                rows = [(d, list(s), sorted(words(x))) for d, t, s in zip(part["doc_id"], part["text"], part["subjects"]) for x in sentences(t, shared.value)]
-                yield pd.DataFrame(rows, columns=["doc_id", "subjects", "words"])
+                rows = [(list(s), [" ".join(sorted(words(x))) for x in sentences(t, shared.value)]) for t, s in zip(part["text"], part["subjects"])]
+                yield pd.DataFrame(rows, columns=["subjects", "sentences"])
 
-    rows = cut(texts.join(F.broadcast(chosen), "doc_id").mapInPandas(split, "doc_id bigint, subjects array<string>, words array<string>"))
-    n = rows.count()
+    rows = cut(texts.join(F.broadcast(chosen), "doc_id").mapInPandas(split, "subjects array<string>, sentences array<string>"))
+    counted = cut(_word_counts(rows))
+    priors = {r.subject: r.n for r in counted.where("word = ''").collect()}  # one row a subject
+    n = priors.pop("", 0)
     if not n:
         return learnt
-    by_subject = rows.select(F.explode("subjects").alias("subject")).groupBy("subject").agg((F.count(F.lit(1)) / F.lit(n)).alias("prior"))
-    each = rows.select("doc_id", "subjects", F.explode("words").alias("word"))
-    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")).where(F.col("docs") >= WORD_DOCS)
-    together = each.select("word", F.explode("subjects").alias("subject")).groupBy("word", "subject").agg(F.count(F.lit(1)).alias("both"))
-    enough = F.least(WORD_LIFT * F.col("prior"), F.col("prior") + WORD_GAIN * (1 - F.col("prior")))
-    lifted = together.join(often, "word").join(by_subject, "subject").where(F.col("both") / F.col("n") >= enough)
-    learnt.inside = frozenset(r[0] for r in lifted.select("word").distinct().collect())  # words of the bounded sample
-    if not learnt.inside:
+    shares = {s: c / n for s, c in priors.items()}
+    enough = F.create_map(*[F.lit(x) for s, p in shares.items() for x in (s, min(WORD_LIFT * p, p + WORD_GAIN * (1 - p)))])
+    whole = counted.where(f"word <> '' and subject = '' and docs >= {WORD_DOCS}").select("word", F.col("n").alias("whole"))
+    lifted = counted.where("word <> '' and subject <> ''").join(whole, "word").where(F.col("n") / F.col("whole") >= F.try_element_at(enough, F.col("subject")))
+    often = {r.word: r.whole for r in lifted.select("word", "whole").distinct().collect()}  # words of the bounded sample
+    learnt.inside = frozenset(often)
+    if not often:
         return learnt
-    inside = texts.sparkSession.sparkContext.broadcast(learnt.inside)
-
-    def basket(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [(d, [w for w in x if w in inside.value], ["=" + s for s in c]) for d, x, c in zip(batch["doc_id"], batch["words"], batch["subjects"])]
-            yield pd.DataFrame([(d, w + c) for d, w, c in kept if w], columns=["doc_id", "items"])
-
-    baskets = cut(rows.mapInPandas(basket, "doc_id bigint, items array<string>").distinct().select("items"))
-    support = max(SUPPORT, SUPPORT_COUNT / n)
-    mined = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / baskets.count()), minConfidence=0.0).fit(baskets).freqItemsets
-    mined = mined.select(F.sort_array(F.filter("items", lambda i: ~i.startswith("="))).alias("words"), F.filter("items", lambda i: i.startswith("=")).alias("codes"), "freq")
-    mined = cut(mined.where(F.size("words").between(1, RULE_WORDS) & (F.size("codes") <= 1)))
-    plain_sets = mined.where(F.size("codes") == 0).select("words", F.col("freq").alias("n"))
-    pointing = mined.where(F.size("codes") == 1).select("words", F.substring(F.col("codes")[0], 2, 100).alias("subject"), F.col("freq").alias("both"))
-    rules = pointing.join(plain_sets, "words").withColumn("confidence", F.col("both") / (F.col("n") + DOUBT)).where(F.col("confidence") >= CONFIDENCE)
-    found = {(tuple(r.words), r.subject): r.confidence for r in rules.collect()}  # bounded by the sample and the support
+    found = _mined(rows, {w: i for i, w in enumerate(sorted(often, key=lambda w: (-often[w], w)))}, max(SUPPORT * n, SUPPORT_COUNT))
     for (chosen_words, subject), confidence in sorted(found.items()):
         shorter = (found.get((part, subject), 0.0) for size in range(1, len(chosen_words)) for part in combinations(chosen_words, size))
         if all(confidence > other + GAIN for other in shorter):
@@ -236,6 +248,83 @@ def learn(texts: DataFrame, labels: DataFrame) -> Rules:
     return learnt
 
 
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """word, subject, n (sentences), docs of labelled sentences; an empty word stands for all, an empty subject for any."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total: Counter[tuple[str, str]] = Counter()
+            docs: Counter[str] = Counter()
+            for subjects, texts in zip(batch["subjects"], batch["sentences"]):
+                parts = [t.split() for t in texts]
+                docs.update({w for p in parts for w in p})
+                each = Counter(w for p in parts for w in ("", *p))
+                for s in ("", *subjects):
+                    for w, k in each.items():
+                        total[w, s] += k
+            yield pd.DataFrame([(w, s, k, 0 if s else docs[w]) for (w, s), k in total.items()], columns=["word", "subject", "n", "docs"])
+
+    return rows.mapInPandas(count, "word string, subject string, n bigint, docs bigint").groupBy("word", "subject").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def grow(transactions: list[tuple[tuple[int, ...], tuple[str, ...], int]], least: float, heads: frozenset[int] | None = None, found: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], int, dict[str, int]]]:
+    """Frequent sets of up to RULE_WORDS words with their count and that of each code beside them.
+
+    transactions: words as ranks (the most frequent first) in order, codes, count. Each word projects the
+    transactions that hold it to the words before it. heads: the words to start from, all if None.
+    """
+    projected: dict[int, list[tuple[tuple[int, ...], tuple[str, ...], int]]] = {}
+    for items, codes, n in transactions:
+        for at, item in enumerate(items):
+            if heads is None or item in heads:
+                projected.setdefault(item, []).append((items[:at], codes, n))
+    for item, rows in projected.items():
+        total = sum(n for _, _, n in rows)
+        if total < least:
+            continue
+        counts: Counter[str] = Counter()
+        for _, codes, n in rows:
+            for c in codes:
+                counts[c] += n
+        yield (*found, item), total, counts
+        if len(found) + 1 < RULE_WORDS:
+            yield from grow([r for r in rows if r[0]], least, None, (*found, item))
+
+
+def _mined(rows: DataFrame, ranks: dict[str, int], least: float) -> dict[tuple[tuple[str, ...], str], float]:
+    """Confidence by words and subject of the frequent sets that point to a subject.
+
+    A sentence's words count once a document. A shard gets of each transaction the part up to its own last word.
+    """
+    names = sorted(ranks, key=ranks.get)
+    shared = rows.sparkSession.sparkContext.broadcast(ranks)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            total: Counter[tuple[int, tuple[int, ...], tuple[str, ...]]] = Counter()
+            for subjects, texts in zip(batch["subjects"], batch["sentences"]):
+                for items in {tuple(sorted(shared.value[w] for w in t.split() if w in shared.value)) for t in texts}:
+                    for shard, end in {r % SHARDS: i + 1 for i, r in enumerate(items)}.items():
+                        total[shard, items[:end], tuple(subjects)] += 1
+            yield pd.DataFrame([(k, list(i), list(c), n) for (k, i, c), n in total.items()], columns=["shard", "items", "codes", "n"])
+
+    def mine(part: pd.DataFrame) -> pd.DataFrame:
+        total: Counter[tuple[tuple[int, ...], tuple[str, ...]]] = Counter()
+        for items, codes, n in zip(part["items"], part["codes"], part["n"]):
+            total[tuple(items), tuple(codes)] += n
+        heads = frozenset(range(int(part["shard"].iloc[0]), len(names), SHARDS))
+        rules = [
+            (sorted(names[i] for i in found), subject, both / (whole + DOUBT))
+            for found, whole, codes in grow([(i, c, n) for (i, c), n in total.items()], least, heads)
+            for subject, both in codes.items()
+            if both >= least and both / (whole + DOUBT) >= CONFIDENCE
+        ]
+        return pd.DataFrame(rules, columns=["words", "subject", "confidence"])
+
+    shards = rows.mapInPandas(project, "shard int, items array<int>, codes array<string>, n bigint").groupBy("shard")  # of the bounded sample
+    return {(tuple(r.words), r.subject): r.confidence for r in shards.applyInPandas(mine, "words array<string>, subject string, confidence double").collect()}
+
+
 def _recount(rows: DataFrame, learnt: Rules) -> None:
     """Confidence of every rule where each labelled sentence counts for the one subject of its document with most evidence."""
     shared = rows.sparkSession.sparkContext.broadcast(learnt)
@@ -245,15 +334,17 @@ def _recount(rows: DataFrame, learnt: Rules) -> None:
         for batch in batches:
             total: Counter[tuple[str, str]] = Counter()
             hits: Counter[tuple[str, str]] = Counter()
-            for found, subjects in zip(batch["words"], batch["subjects"]):
-                found = frozenset(found)
-                told = rules.evidence(found, set(subjects))
-                for chosen, subject, _ in rules.matching(found):
-                    total[" ".join(chosen), subject] += 1
-                    hits[" ".join(chosen), subject] += bool(told) and told[0] == subject
+            for subjects, texts in zip(batch["subjects"], batch["sentences"]):
+                among = set(subjects)
+                for text in texts:
+                    inside = rules.inside.intersection(text.split())
+                    told = rules.evidence(inside, among)
+                    for chosen, subject, _ in rules.matching(inside):
+                        total[" ".join(chosen), subject] += 1
+                        hits[" ".join(chosen), subject] += bool(told) and told[0] == subject
             yield pd.DataFrame([(*k, n, hits[k]) for k, n in total.items()], columns=["chosen", "subject", "n", "hits"])
 
-    counted = rows.select("words", "subjects").mapInPandas(count, "chosen string, subject string, n bigint, hits bigint").groupBy("chosen", "subject").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    counted = rows.mapInPandas(count, "chosen string, subject string, n bigint, hits bigint").groupBy("chosen", "subject").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     fresh: dict[tuple[str, ...], list[tuple[str, float]]] = {}
     for r in sorted(counted.collect(), key=lambda r: (r.chosen, r.subject)):  # one row a rule
         if r.hits / (r.n + DOUBT) >= CONFIDENCE:
@@ -267,7 +358,7 @@ def _calibrated(rows: DataFrame, learnt: Rules) -> list[float]:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            told = [(shared.value.evidence(frozenset(w)), s) for w, s in zip(batch["words"], batch["subjects"])]
+            told = [(shared.value.evidence(shared.value.inside.intersection(t.split())), s) for s, texts in zip(batch["subjects"], batch["sentences"]) for t in texts]
             yield pd.DataFrame([(min(int(t[1] * BINS), BINS - 1), int(t[0] in s)) for t, s in told if t], columns=["bin", "hit"])
 
     hits = {r.bin: (r.hits, r.n) for r in rows.mapInPandas(judge, "bin int, hit int").groupBy("bin").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).collect()}
@@ -319,7 +410,7 @@ def subject_areas(documents: DataFrame, key: str, text: str, labels: DataFrame)
     texts = _texts(documents, key, text)
     told = cut(told_sentences(texts, learn(texts, marked)))
     passing = passing_words(told)
-    kept = told.where(~F.arrays_overlap("context", F.array(*[F.lit(w) for w in passing]))) if passing else told
+    kept = told.where(~F.arrays_overlap("context", F.split(F.lit(" ".join(passing)), " "))) if passing else told  # one folded literal
     shares = kept.groupBy("doc_id", "subject", "n_sentences").agg((F.count(F.lit(1)) / F.col("n_sentences")).alias("share")).where(F.col("share") >= SHARE)
     return shares.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
 
