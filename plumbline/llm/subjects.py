@@ -52,8 +52,8 @@ SHARDS = 48
 KEPT_SETS = 200_000
 
 _LINE = re.compile(r"[\r\n\x0b\x0c\u0085\u2028\u2029]+")
-_END = re.compile(r"(?<=[.!?])[\"”’')\]]*\s+(?=[\"“‘(\[]*[^\Wa-z_]|[¿¡\-–—•*])")
-_INNER = re.compile(r"(?<=\s)(?=[^\Wa-z_]|[¿¡(\-–•*])(?=(\S+)\s+(\S+))")
+_END = re.compile(r"[.!?][\"”’')\]]*\s+(?=[\"“‘(\[]*[^\Wa-z_]|[¿¡\-–—•*])")
+_INNER = re.compile(r"\s(?=[^\Wa-z_]|[¿¡(\-–•*])(?=(\S+)\s+(\S+))")
 _WORD = re.compile(r"[a-z]{3,}")
 _HEADER = re.compile(r"(?i)\s*(?:-+\s*page\s+\d+\s*-+|(?:subject|asunto|re|fw|fwd|to|from|cc|date)\s*:.{0,80})$")
 _DIGITS = re.compile(r"\d+")
@@ -84,9 +84,15 @@ def _opening(first: str, second: str) -> tuple[str, str]:
 def stretches(text: str) -> Iterator[str]:
     """Lines of a text, cut after the ends of sentences."""
     for line in _LINE.split(text):
-        for part in _END.split(line):
-            if part and not part.isspace():
-                yield part.strip()
+        last = 0
+        for m in _END.finditer(line):
+            part = line[last : m.start() + 1].strip()
+            last = m.end()
+            if part:
+                yield part
+        part = line[last:].strip()
+        if part:
+            yield part
 
 
 def _is_mark(part: str) -> bool:
@@ -103,13 +109,13 @@ def sentences(text: str | None, openings: dict[tuple[str, str], bool]) -> list[s
     for part in stretches(text or ""):
         last, capitals = 0, part.isupper()
         for m in _INNER.finditer(part):
-            first, second = _opening(m[1], m[2])
-            alone = openings.get((first, second))
-            if alone is None and not capitals and first[:1].isalpha():
-                alone = openings.get(("*", second))
-            if alone is not None and (alone or not capitals) and part[last : m.start()].strip():
-                found.append(part[last : m.start()].strip())
-                last = m.start()
+            pair = _opening(*m.groups())
+            alone = openings.get(pair)
+            if alone is None and not capitals and pair[0][:1].isalpha():
+                alone = openings.get(("*", pair[1]))
+            if alone is not None and (alone or not capitals) and (before := part[last : m.start()].strip()):
+                found.append(before)
+                last = m.start() + 1
         found.append(part[last:].strip())
     return [f for f in found if f and not _is_mark(f)]
 
