@@ -33,6 +33,28 @@ def schedule_kind(headers: Column) -> Column:
     return best_header_match(headers, VOCABULARIES)
 
 
+#: Header words of a page's tables by kind, in the order in which ties are decided.
+PAGE_WORDS = {
+    "door": ("DOOR", "MARK", "TYPE", "SIZE", "FRAME", "HARDWARE", "WIDTH", "HEIGHT", "RATING"),
+    "window": ("WINDOW", "MARK", "TYPE", "SIZE", "GLAZING", "WIDTH", "HEIGHT"),
+    "room": ("ROOM", "NAME", "NUMBER", "FLOOR", "WALL", "CEILING", "BASE"),
+    "finish": ("FINISH", "MATERIAL", "LOCATION", "COLOR", "MANUFACTURER"),
+}
+#: Score from which the typed schedules of a page are used.
+PREPASS_USED = 0.65
+
+
+def page_schedule_kind(headers: Column) -> Column:
+    """Kind of a table on a page: most header words in common, 2 more for the words DOOR and WINDOW themselves; `unknown` below 2."""
+    words = F.array_distinct(F.flatten(F.transform(headers, lambda h: F.regexp_extract_all(F.upper(F.coalesce(h, F.lit(""))), F.lit("[A-Z]+"), F.lit(0)))))
+    scored = F.array(*[
+        F.struct((F.size(F.array_intersect(words, F.array(*map(F.lit, known)))) + (F.array_contains(words, kind.upper()).cast("int") * 2 if kind in ("door", "window") else F.lit(0))).alias("score"), F.lit(-i).alias("rank"), F.lit(kind).alias("kind"))
+        for i, (kind, known) in enumerate(PAGE_WORDS.items())
+    ])
+    best = F.array_max(scored)
+    return F.when(best["score"] >= 2, best["kind"]).otherwise("unknown")
+
+
 def dominant(kinds: Column) -> Column:
     """Kinds of one page after precedence: windows yield to doors, finishes and rooms to either."""
     doors, windows = F.array_contains(kinds, "door"), F.array_contains(kinds, "window")
@@ -116,9 +138,9 @@ def typed_records(tables: DataFrame, family: str) -> DataFrame:
 
 
 def record_confidence(mark: Column, kind: Column) -> Column:
-    """.92 with mark and type, .80 with a mark, .60 with neither."""
-    has = lambda c: F.trim(c) != ""
-    return F.when(has(mark) & has(kind), 0.92).when(has(mark), 0.8).otherwise(0.6)
+    """.92 with mark and type, .80 with one of them, .60 with neither."""
+    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return F.when(has(mark) & has(kind), 0.92).when(has(mark) | has(kind), 0.8).otherwise(0.6)
 
 
 def prepass_score(flags: Sequence[Column], weights: Sequence[float] = (0.30, 0.20, 0.15, 0.20, 0.15)) -> Column:
