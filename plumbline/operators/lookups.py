@@ -155,11 +155,14 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
 OPENING_SF = {"door": 21.0, "window": 12.0}
 
 
-def openings_by_room(doors: DataFrame, rooms: DataFrame) -> DataFrame:
-    """bid_id, room, n_openings, opening_sf of rooms that exist: width x height / 144 each, 21 SF where unknown."""
+def openings_by_room(doors: DataFrame, rooms: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """bid_id, room, n_openings, opening_sf of rooms that exist: width x height / 144 each, where unknown 21 SF a door, 12 a window."""
     known = rooms.select("bid_id", "room").where("bid_id is not null and room is not null").distinct()
-    size = F.coalesce(F.col("width_in") * F.col("height_in") / 144, F.lit(OPENING_SF["door"]))
-    return doors.join(known, ["bid_id", "room"], "left_semi").groupBy("bid_id", "room").agg(F.count(F.lit(1)).alias("n_openings"), F.sum(size.cast("decimal(18,6)")).cast("double").alias("opening_sf"))
+    columns = ["bid_id", "room", "width_in", "height_in"]
+    every = doors.select(*columns, F.lit(OPENING_SF["door"]).alias("usual"))
+    every = every.unionByName(windows.select(*columns, F.lit(OPENING_SF["window"]).alias("usual"))) if windows is not None else every
+    size = F.coalesce(F.col("width_in") * F.col("height_in") / 144, "usual")
+    return every.join(known, ["bid_id", "room"], "left_semi").groupBy("bid_id", "room").agg(F.count(F.lit(1)).alias("n_openings"), F.sum(size.cast("decimal(18,6)")).cast("double").alias("opening_sf"))
 
 
 def backfill(finishes: DataFrame, rooms: DataFrame, openings: DataFrame) -> DataFrame:

@@ -22,10 +22,25 @@ def with_all_of_domain(df: DataFrame, key: str, domain: list[str]) -> DataFrame:
     return F.broadcast(every).join(df, key, "left").select(key, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-def pages_of(df: DataFrame, key: str, text: str, most: int = 60) -> DataFrame:
-    """Pages of marked texts (`--- PAGE n ---` lines): key, page_no, body; at most `most` pages of a text, as the source reads them."""
+def pages_of(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """Pages of marked texts (`--- PAGE n ---` lines): key, page_no, body; all of them, or the first `most`."""
     parts = df.select(key, F.posexplode(F.split(F.col(text), r"\n?--- PAGE [0-9]+ ---\n?")).alias("page_no", "body"))
-    return parts.where((F.col("page_no") >= 1) & (F.col("page_no") <= most))
+    return parts.where((F.col("page_no") >= 1) & (F.col("page_no") <= most if most is not None else F.lit(True)))
+
+
+def first_pages(df: DataFrame, key: str, text: str, most: int = 60) -> DataFrame:
+    """key, body of marked texts: the first `most` pages with their markers, and a note where there are more."""
+    marks = F.array_join(F.slice(F.split(F.col(text), r"(?=\n?--- PAGE [0-9]+ ---\n?)"), 1, most + 1), "")
+    n = F.size(F.regexp_extract_all(F.col(text), F.lit(r"--- PAGE [0-9]+ ---"), F.lit(0)))
+    return df.select(key, F.when(n > most, F.concat(marks, F.lit(f"\n[... {most} pages read ...]"))).otherwise(F.col(text)).alias("body"), n.alias("n_pages"))
+
+
+def any_filled(*columns: str) -> Column:
+    """Is any of the text columns neither null nor blank?"""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.trim(c) != "", F.lit(False))
+    return found
 
 
 def as_json(df: DataFrame, key: str, name: str = "document") -> DataFrame:

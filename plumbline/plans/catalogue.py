@@ -396,7 +396,7 @@ def category_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with p as (select bundle_id, generate_subscripts(a, 1) - 1 page_no, unnest(a) body from (select bundle_id, regexp_split_to_array(full_text, '\\n?--- PAGE [0-9]+ ---\\n?') a from bundles where full_text is not null))
-select bundle_id, count(*) n_pages, sum(length(body))::bigint n_chars from p where page_no between 1 and 60 group by 1
+select bundle_id, count(*) n_pages, sum(length(body))::bigint n_chars from p where page_no >= 1 group by 1
 """)
 def bundle_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = reports.pages_of(load(spark, folder, "bundles"), "bundle_id", "full_text")
