@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import to_places
-from ..functions.similarity import cosine, sequence_ratio
+from ..functions.similarity import cosine
 from ..functions.text import norm_description
 from .skew import top_rows
 
@@ -53,8 +53,16 @@ def as_of(series: DataFrame, wanted: DataFrame) -> DataFrame:
     return picked.select("series", "at", F.coalesce("asof", "oldest").alias("p"), F.col("asof").isNull().alias("late")).select("series", "at", "p.period", "p.value", "late")
 
 
-def change_factor(series: DataFrame, wanted: DataFrame) -> DataFrame:
-    """series, base, target, factor: value at target over value at base (4 places), 1.0 where either is missing or zero."""
+def change_factor(series: DataFrame, wanted: DataFrame, fallback: str | None = None) -> DataFrame:
+    """series, base, target, factor: value at target over value at base (4 places), 1.0 where either is missing or zero.
+
+    A wanted series without any value takes those of `fallback`.
+    """
+    if fallback is not None:
+        known = series.select("series").distinct().withColumn("__known", F.lit(True))
+        asked = wanted.join(known, "series", "left").withColumn("__used", F.when(F.col("__known"), F.col("series")).otherwise(F.lit(fallback)))
+        factors = change_factor(series, asked.select(F.col("__used").alias("series"), "base", "target")).withColumnRenamed("series", "__used")
+        return asked.join(factors, ["__used", "base", "target"]).select("series", "base", "target", "factor")
     base = as_of(series, wanted.select("series", F.col("base").alias("at"))).select("series", F.col("at").alias("base"), F.col("value").alias("v0"))
     target = as_of(series, wanted.select("series", F.col("target").alias("at"))).select("series", F.col("at").alias("target"), F.col("value").alias("v1"))
     both = wanted.select("series", "base", "target").distinct().join(base, ["series", "base"], "left").join(target, ["series", "target"], "left")
@@ -117,30 +125,6 @@ def retire_family(rows: DataFrame, made: DataFrame, family: str, row_id: str, ow
     return rows.join(gone.unionByName(named), row_id, "left_anti")
 
 
-def fuzzy_plan(rows: DataFrame, lines: DataFrame, threshold: float = 0.75, margin: float = 0.05, top: int = 5) -> DataFrame:
-    """Match plan of quote rows against cost lines of one block: best, runner-up, top candidates and status.
-
-    rows: row_id, block, description, quantity, unit; lines: line_id, block, description, quantity, unit. Units must
-    be equal where both are told. The ratio of the normalised descriptions counts 2 % more if the quantities agree
-    within 5 %. Status: MATCHED, AMBIGUOUS (runner-up within the margin), LOW_SIMILARITY, NO_MATCH (no line). The
-    block (a code that both texts bear) keeps the comparison linear.
-    """
-    a = rows.select("row_id", "block", norm_description(F.col("description")).alias("a"), F.col("quantity").alias("q"), F.col("unit").alias("u"))
-    b = lines.select("line_id", "block", norm_description(F.col("description")).alias("b"), F.col("quantity").alias("lq"), F.col("unit").alias("lu"))
-    pairs = a.join(b, "block").where("u is null or lu is null or u = lu")
-    boost = F.when((F.col("lq") > 0) & (F.abs(F.col("q") - F.col("lq")) / F.greatest(F.col("lq"), F.lit(1e-9)) <= 0.05), 1.02).otherwise(1.0)
-    scored = pairs.withColumn("sim", F.least(F.lit(1.0), to_places(sequence_ratio("a", "b") * boost, 4)))
-    ranked = top_rows(scored.select("row_id", "line_id", "sim"), ["row_id"], [F.desc("sim"), F.asc("line_id")], top)
-    ranked = ranked.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "sim", "line_id"))).alias("found"))  # at most `top`
-    best = F.col("found")[0]
-    second = F.coalesce(F.try_element_at("found", F.lit(2))["sim"], F.lit(0.0))
-    status = F.when(F.col("found").isNull(), "NO_MATCH").when(best["sim"] < threshold, "LOW_SIMILARITY").when((F.size("found") > 1) & (best["sim"] - second < margin), "AMBIGUOUS").otherwise("MATCHED")
-    return a.select("row_id").join(ranked, "row_id", "left").select(
-        "row_id", status.alias("status"), best["line_id"].alias("line_id"), best["sim"].alias("similarity"), second.alias("runner_up"),
-        F.coalesce(F.col("found.line_id"), F.array().cast("array<bigint>")).alias("candidates"),
-    )
-
-
 def nearest(vectors: DataFrame, every: int = 50, top: int = 5) -> DataFrame:
     """The `top` nearest by cosine for every row whose id is divisible by `every`, against all rows but itself.
 

@@ -16,14 +16,23 @@ TEXTS, QUERIES, PRODUCTS = 4000, 2000, 2_000_000
 PLACES = 9
 
 
-def weighted_terms(texts: DataFrame) -> DataFrame:
-    """id, term, weight: unit-length TF-IDF rows of one- and two-word terms; idf is ln((1 + n) / (1 + df)) + 1."""
+def _terms(texts: DataFrame) -> DataFrame:
+    """id, term, tf of one- and two-word terms."""
     words = texts.select("id", F.filter(F.split(norm(F.col("text")), " "), lambda w: F.length(w) > 1).alias("w"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
     terms = words.select("id", F.explode(F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))).alias("term"))
-    counts = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = texts.select("id").distinct().count()
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def weighted_terms(texts: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
+    """id, term, weight: unit-length TF-IDF rows of one- and two-word terms; idf is ln((1 + n) / (1 + df)) + 1.
+
+    n and df are those of the texts themselves or of `fitted` texts, whose terms alone count then.
+    """
+    counts = _terms(texts)
+    base = counts if fitted is None else _terms(fitted)
+    n = (texts if fitted is None else fitted).select("id").distinct().count()
+    df = base.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = counts.join(df, "term").select("id", "term", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("raw"))
     norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
     return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.col("size")).alias("weight"))

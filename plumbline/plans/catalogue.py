@@ -356,18 +356,6 @@ def tfidf_topk(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(terms, terms.where("id % 50 = 0"))
 
 
-def _coded(df: DataFrame, key: str, unit: str) -> DataFrame:
-    block = F.nullif(F.regexp_extract(F.lower("description"), r"\b[a-z]{4,}[ -]#?([0-9]{2,4})\b(?! ?(?:in|mm|ga|lb|mil|psi)\b)", 1), F.lit(""))
-    return df.select(F.col(key).alias("row_id"), block.alias("block"), "description", "quantity", units.normal_unit(F.col(unit)).alias("unit"))
-
-
-@query()
-def vendor_match_plan(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _coded(load(spark, folder, "vendor_rows"), "row_id", "unit_of_measure")
-    lines = _coded(load(spark, folder, "takeoff_template").where("list_name = 'line_items'"), "item_id", "unit").withColumnRenamed("row_id", "line_id")
-    return lookups.fuzzy_plan(rows, lines.where("block is not null")).withColumn("candidates", F.array_join("candidates", ","))
-
-
 @query("select confidence_band, count(*) n_rows from (select case when suppressed then 'HAND' when confidence is null then 'REVIEW' when confidence >= 0.85 then 'AUTO' when confidence >= 0.65 then 'REVIEW' else 'HAND' end confidence_band from takeoff_template) group by 1")
 def band_distribution(spark: SparkSession, folder: str) -> DataFrame:
     bands = load(spark, folder, "takeoff_template").select(classify.band(F.col("confidence"), F.coalesce("suppressed", F.lit(False))).alias("confidence_band"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import measures, similarity, text
 from plumbline.functions.rounding import to_places
-from plumbline.operators import classify, lookups, records, reports, search
+from plumbline.operators import classify, lookups, matching, records, reports, search
 from plumbline.operators.skew import salted_lookup
 from plumbline.sources import files
 from plumbline.sources.tables import need
@@ -132,9 +132,9 @@ def test_antijoin_and_plan(spark, rows):
     lines = spark.createDataFrame([(1, "b", "Door 101A wood"), (2, "b", "door 1010"), (3, "c", "door 101a"), (4, "b", None)], "id bigint, bid string, d string")
     made = spark.createDataFrame([("b", "101A"), ("b", "1")], "bid string, mark string")
     assert rows(lookups.retire_covered(lines, made, "id", "bid", "d", "mark").select("id")) == [(2,), (3,), (4,)]
-    quotes = spark.createDataFrame([(1, "9", "slab on grade", 50.0, "sf"), (2, "9", "zzz", None, None), (3, "8", "x", None, None)], "row_id bigint, block string, description string, quantity double, unit string")
-    costs = spark.createDataFrame([(10, "9", "slab on grade", 50.0, "sf"), (11, "9", "slab on grades", 9.0, "sf"), (12, "9", "slab on grade", 50.0, "ea")], "line_id bigint, block string, description string, quantity double, unit string")
-    plan = {r.row_id: (r.status, r.line_id) for r in lookups.fuzzy_plan(quotes, costs).collect()}
+    quotes = spark.createDataFrame([(1, "slab on grade", 50.0, "SF"), (2, "zzz", None, None), (3, "x", None, "LF")], "row_id bigint, description string, quantity double, unit string")
+    costs = spark.createDataFrame([(10, "slab on grade", 50.0, "SF"), (11, "slab on grades", 9.0, "SF"), (12, "slab on grade", 50.0, "EA")], "line_id bigint, description string, quantity double, unit string")
+    plan = {r.row_id: (r.status, r.line_id) for r in matching.match_plan(quotes, costs).collect()}
     assert plan[1] == ("AMBIGUOUS", 10) and plan[2][0] == "LOW_SIMILARITY" and plan[3] == ("NO_MATCH", None)
 
 

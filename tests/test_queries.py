@@ -8,10 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from plumbline.plans import catalogue, data_problems
+from plumbline.plans import catalogue, data_problems, fact_plans, price_plans, report_plans, schedule_plans
 
-QUERIES = catalogue.queries() | data_problems.queries()
-SQL = catalogue.oracle_sql() | data_problems.oracle_sql()
+PLANS = (catalogue, data_problems, schedule_plans, report_plans, price_plans, fact_plans)
+QUERIES = {name: query for p in PLANS for name, query in p.queries().items()}
+SQL = {name: sql for p in PLANS for name, sql in p.oracle_sql().items()}
 
 
 def cell(v):
