@@ -16,7 +16,7 @@ SUBTOTALS = ("subtotal", "sub total", "sub-total", "grand total", "total", "tax"
 
 def title_line(text: Column) -> Column:
     """First line of less than 80 characters that has a word of drawing titles; null if none."""
-    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), F.trim), lambda x: (F.length(x) > 0) & (F.length(x) < 80))
+    lines = F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) < 80))
     return F.try_element_at(F.filter(lines, lambda x: F.upper(x).rlike("|".join(TITLE_WORDS))), F.lit(1))
 
 

