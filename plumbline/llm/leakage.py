@@ -3,7 +3,8 @@
 The corpus is cut into overlapping passages of words that occur in the held-out items. A distributed randomised
 SVD of their TF-IDF matrix gives a latent space; passages whose latent vector is close enough to that of a part
 of an item are candidates, and each candidate is checked on its words: for a run of consecutive words (verbatim
-leak) or a long common subsequence that also has the item's numbers (paraphrase). The vocabulary is that of the
+leak) or a long common subsequence that also has the item's answer: its numbers and most of its seldom words
+(paraphrase). The vocabulary is that of the
 items, a small fixed set; everything that grows with the corpus stays distributed.
 """
 
@@ -32,6 +33,9 @@ RANK, EXTRA = 48, 16
 COSINE, PART_STEP = 0.4, 3
 #: A paraphrase has a cosine and a share of the item part's words, in order, of at least these.
 PARAPHRASE_COSINE, PARAPHRASE_SHARE = 0.6, 0.7
+#: At most so many words of a part are its seldom ones, those that occur at most half as often as its usual words; this share of
+#: them must be there beside its numbers.
+SELDOM, SELDOM_SHARE = 4, 0.5
 #: Most words of all items together: they are held by the driver and each worker.
 ITEM_WORDS = 2_000_000
 #: Partial sums added up in one task.
@@ -188,6 +192,7 @@ class Space:
 
     idf: np.ndarray
     basis: np.ndarray
+    seen: np.ndarray | None = None  # does this word occur in the corpus at all? (None: every word does)
 
 
 def latent_space(passages: DataFrame, items: Items) -> Space:
@@ -220,7 +225,7 @@ def latent_space(passages: DataFrame, items: Items) -> Space:
 
     b = _times(weights, len(part_rows), q) if len(part_rows) else np.zeros((0, width))
     values, vectors = np.linalg.eigh(_summed(passages, (width, width), gram) + b.T @ b)
-    return Space(idf, np.ascontiguousarray((q @ vectors[:, ::-1][:, :RANK]).astype(np.float32)))
+    return Space(idf, np.ascontiguousarray((q @ vectors[:, ::-1][:, :RANK]).astype(np.float32)), counts[:size] > 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -236,6 +241,21 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(last[-1])
 
 
+def answer_words(rows: np.ndarray, space: Space) -> np.ndarray:
+    """Which words of each part are its seldom ones, at most SELDOM; words that the corpus doesn't have tell nothing."""
+    asked = np.zeros(rows.shape, dtype=bool)
+    if len(rows):
+        weight = space.idf[rows] if space.seen is None else np.where(space.seen[rows], space.idf[rows], 0.0)
+        np.put_along_axis(asked, np.argsort(-weight, axis=1, kind="stable")[:, :SELDOM], True, axis=1)
+        asked &= weight >= np.median(weight, axis=1, keepdims=True) + math.log(2)
+    return asked
+
+
+def has_answer(present: np.ndarray, numeric: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Are all numbers of a part there and enough of its seldom words?"""
+    return (present | ~numeric).all(1) & ((present & asked).sum(1) >= SELDOM_SHARE * asked.sum(1))
+
+
 class Searcher:
     """Candidates by cosine and their checks, for blocks of passages."""
 
@@ -245,6 +265,7 @@ class Searcher:
         self.latent = _unit(_times(_weights(self.rows, space.idf), len(self.rows), space.basis))
         self.starts = np.flatnonzero(np.concatenate(([True], self.owner[1:] != self.owner[:-1]))) if len(self.owner) else np.empty(0, np.int64)
         self.hashes, self.hash_owner = items.runs()
+        self.asked = answer_words(self.rows, space)
 
     def search(self, docs: np.ndarray, passages: np.ndarray) -> Iterator[tuple[int, int, str, float]]:
         """(item id, doc id, kind, cosine) of the leaks in a block."""
@@ -273,7 +294,7 @@ class Searcher:
         for at in range(0, len(pairs), 20_000):
             near, part = pairs[at : at + 20_000].T
             present = (self.rows[part][:, :, None] == passages[near][:, None, :]).any(2)
-            likely = (present.sum(1) >= PARAPHRASE_SHARE * RUN) & (present | ~self.items.numeric[self.rows[part]]).all(1)
+            likely = (present.sum(1) >= PARAPHRASE_SHARE * RUN) & has_answer(present, self.items.numeric[self.rows[part]], self.asked[part])
             for row, k in zip(near[likely].tolist(), part[likely].tolist()):
                 pair = (row, int(self.owner[k]))
                 if pair not in verbatim and cosine[row, k] > best.get(pair, -1.0) and common_subsequence(self.rows[k], passages[row]) >= PARAPHRASE_SHARE * RUN:

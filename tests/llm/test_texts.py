@@ -109,6 +109,39 @@ def runs(text):
     return {tuple(w[i : i + leakage.RUN]) for i in range(len(w) - leakage.RUN + 1)}
 
 
+def test_paraphrases_are_found(spark):
+    """Recall of paraphrases against every part beside every passage, without the latent search."""
+    rng = random.Random(12)
+    common = ["the", "of", "roof", "panel", "drain", "wall", "and", "to", "crew", "price", "report", "under"]
+    name = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(7))
+    items = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else rng.choice([name(), str(rng.randint(10, 9999))]) for _ in range(rng.randint(20, 50)))) for i in range(40)]
+    docs = []
+    for d in range(200):
+        words = [rng.choice([*common, name()]) for _ in range(rng.randint(10, 90))]
+        source = rng.choice(items)[1].split()
+        at = rng.randint(0, len(source) - 18)
+        part = [w if w not in common or rng.random() < 0.6 else rng.choice(["some", "other", "words"]) for w in source[at : at + 18]]
+        if d % 2:
+            words[5:5] = part
+        docs.append((d, " ".join(words)))
+    held = leakage.Items.of(items)
+    owner, rows = held.parts()
+    known = [np.array([held.vocabulary.get(w, -1) for w in leakage.words(t)], dtype=np.int64) for _, t in docs]
+    blocks = [leakage.passages_of(k, 9) for k in known]
+    space = leakage.latent_space(spark.createDataFrame([(p.tolist(),) for b in blocks for p in b], "passage array<int>"), held)
+    asked = leakage.answer_words(rows, space)
+    true = set()
+    for (d, _), block in zip(docs, blocks):
+        for passage in block:
+            present = (rows[:, :, None] == passage[None, None, :]).any(2)
+            for k in np.flatnonzero((present.sum(1) >= leakage.PARAPHRASE_SHARE * leakage.RUN) & leakage.has_answer(present, held.numeric[rows], asked)):
+                if leakage.common_subsequence(rows[k], passage) >= leakage.PARAPHRASE_SHARE * leakage.RUN:
+                    true.add((held.ids[owner[k]], d))
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
+    got = {(r.item_id, r.doc_id) for r in found.collect()}
+    assert len(true) > 40 and len(got & true) >= 0.9 * len(true), (len(got & true), len(true))
+
+
 def test_leaks_are_those_of_brute_force(spark):
     rng = random.Random(6)
     common = ["the", "of", "roof", "panel", "drain", "wall", "and", "to"]
