@@ -315,3 +315,50 @@ select event_type series, arg_max("value", struct_pack(a := ts, b := strftime(ts
 def snapshot_history(spark: SparkSession, folder: str) -> DataFrame:
     rows = load(spark, folder, "events").select(F.lit("own").alias("source"), F.col("event_type").alias("series"), F.col("ts").alias("fetched_at"), F.date_format("ts", "yyyy-MM-dd").alias("period"), "value")
     return files.history(rows).select("series", "period", "value")
+
+
+_SUPPORT = (
+    "wage determination|wage decision|wage rates|prevailing wage|davis-bacon|davis bacon|dba wd|dbra| wd |tx2026|tx 2026|tax exemption|tax-exempt|tax exempt certificate|sales tax|sample agreement|sample contract|template agreement|csa template|"
+    "sample construction services agreement|construction services agreement|hub subcontracting plan|subcontracting plan form|hsp form| hsp |ugsc|uniform general conditions|supplementary general conditions|instructions to bidders|instructions to offerors|aia document"
+)
+_SUPPORT_KINDS = (
+    "wage determination > wage determination, wage decision > wage determination, davis-bacon > wage determination, davis bacon > wage determination, prevailing wage > wage determination, wage rates > wage determination, "
+    "tax exemption > tax exemption certificate, tax-exempt > tax exemption certificate, sales tax > tax exemption certificate, sample agreement > sample agreement, sample contract > sample agreement, "
+    "sample construction services agreement > sample agreement, template agreement > sample agreement, csa template > sample agreement, hub subcontracting plan > HSP form, subcontracting plan > HSP form, hsp > HSP form, ugsc > UGSC, "
+    "uniform general conditions > UGSC, supplementary general conditions > UGSC, instructions to bidders > instructions to bidders, instructions to offerors > instructions to bidders, aia document > AIA template"
+)
+
+
+@query(f"""
+with h as (select doc_id, lower(coalesce(source, '') || ' ' || left(coalesce(text, ''), 2000)) t, lower(concat_ws(' ', source, text)) w from documents)
+select doc_id, len(list_filter(string_split('{_SUPPORT}', '|'), lambda p: contains(t, p))) > 0 supporting, case {" ".join(f"when contains(w, '{k}') then '{v}'" for k, v in (x.split(" > ") for x in _SUPPORT_KINDS.split(", ")))} else 'other' end kind from h
+""")
+def supporting_documents(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "documents")
+    return rows.select("doc_id", classify.is_supporting(F.col("source"), F.col("text")).alias("supporting"), classify.supporting_kind(F.col("source"), F.col("text")).alias("kind"))
+
+
+@query("""
+with p as (select line_id, csi_division d, coalesce(unit_cost, 0) l, coalesce(total_cost, 0) m, coalesce(quantity, 0) e, ['cwicr:' || line_id, '(no match)', csi_section, null][(line_id % 4) + 1] src from price_sheet)
+select line_id, case d when '03' then 1.07 when '04' then 1.08 when '05' then 1.03 when '06' then 1.1 when '07' then 1.07 when '08' then 1.02 when '09' then 1.1 when '31' then 1.05 when '32' then 1.05 else 1.0 end::double waste,
+  case when d = '01' then 'other' when d = '06' then 'labor' when d in ('08', '10') then 'material' when d = '11' then 'equipment' when d in ('02', '03', '04', '05', '07', '09', '21', '22', '23', '26', '31', '32', '33') then 'subcontractor'
+  when greatest(l, m, e) <= 0 then 'subcontractor' when l = greatest(l, m, e) then 'labor' when m = greatest(l, m, e) then 'material' else 'equipment' end category,
+  case when starts_with(coalesce(src, ''), 'cwicr:') then 'cwicr' when coalesce(src, '') in ('', '(no match)') then 'no match' else 'seed' end family from p
+""")
+def line_categories(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "price_sheet")
+    source = F.get(F.array(F.concat(F.lit("cwicr:"), F.col("line_id").cast("string")), F.lit("(no match)"), F.col("csi_section"), F.lit(None)), (F.col("line_id") % 4).cast("int"))
+    category = classify.cost_category(F.col("csi_division"), F.col("unit_cost"), F.col("total_cost"), F.col("quantity"))
+    return rows.select("line_id", classify.waste_factor(F.col("csi_division")).alias("waste"), category.alias("category"), classify.source_family(source).alias("family"))
+
+
+@query("""
+with n as (select row_id, coalesce(trim(notes, ' '), '') p, '[batch] operator override: row ' || row_id h from vendor_rows), o as (select row_id, h, case when p = '' then h else h || ' | previous: ' || p end a from n)
+select row_id, a once, a twice, regexp_extract(a, '^(\\[[a-z][a-z\\-]*\\])\\s', 1) tag from o
+""")
+def tagged_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes with a tag put first, and the same once more: nothing changes."""
+    rows = load(spark, folder, "vendor_rows")
+    note = F.concat(F.lit("[batch] row "), F.col("row_id").cast("string"))
+    once = rows.select("row_id", note.alias("note"), classify.tag_first("[batch]", note, F.col("notes")).alias("once"))
+    return once.select("row_id", "once", classify.tag_first("[batch]", F.col("note"), F.col("once")).alias("twice"), classify.leading_tag(F.col("once")).alias("tag"))
