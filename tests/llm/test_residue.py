@@ -52,12 +52,12 @@ def test_edges(spark):
     assert R.message_form(F.lit("x")) is not None
 
 
-HELD_OUT = (  # written apart from the rules, as such texts stand in forms, on pages and in real remarks
+KNOWN_RESIDUE = (  # these and KNOWN_REAL were in view while the rules were written, twelve of them came out of a review: no held-out measure
     "[Project name]", "{name}", "<INSERT>", "Your browser does not support JavaScript", "The requested URL was not found on this server.", "Oops! Something went wrong", "Page not available",
     "{client.address}", "[Contact phone]", "<Vendor name>", "{{ rate | default }}", "This page has moved.", "The server is currently unavailable", "503 Service Unavailable", "Access denied", "An error occurred, try again later",
     "Please enable JavaScript in your browser", "Lorem ipsum dolor sit amet", "Error 404", "HTTP status 500", "We're sorry, something went wrong", "site can't be reached", "[enter date]", "${project.county}",
 )
-REAL = (
+KNOWN_REAL = (
     "Room 214 not found during survey", "Panel 3 gone, replace in kind", "Freight elevator temporarily unavailable until June", "Visitors sign in again after lunch", "This site is not level at the north end",
     "Room 404 not found on the plan", "Panel 503 service unavailable during shutdown", "Owner denied access to the roof", "Sample of stone approved by architect", "Crew signs in at gate 4", "Enter from the dock side only",
     "Roof drain not found at grid C", "Elevator under repair, use stair 2", "Insert plates by others", "Contractor name painted on hoarding", "Page 12 of the specs governs", "See sheet A-404 for detail", "Type X board at shaft",
@@ -66,11 +66,29 @@ REAL = (
 )
 
 
-def test_held_out_phrases(spark):
-    texts = [*HELD_OUT, *REAL]
+def test_known_phrases(spark):
+    texts = [*KNOWN_RESIDUE, *KNOWN_REAL]
     found = {texts[r.row_id] for r in R.residue(frame(spark, texts)).collect()}
-    hits = len(found & set(HELD_OUT))
-    assert hits >= 0.9 * len(HELD_OUT) and hits >= 0.9 * len(found), (set(HELD_OUT) - found, found & set(REAL))
+    hits = len(found & set(KNOWN_RESIDUE))
+    assert hits >= 0.9 * len(KNOWN_RESIDUE) and hits >= 0.9 * len(found), (set(KNOWN_RESIDUE) - found, found & set(KNOWN_REAL))
+
+
+# Written after the rules and run once against them as they stood: 10 of the 20 residues found, none of the 20 remarks. The rules
+# were not changed for these; whoever changes them in view of these needs new ones.
+FRESH_RESIDUE = (
+    "%CLIENT_NAME%", "[Company Address Line 1]", "<<insert scope>>", "{{#if notes}}", "Click here to add text", "Heading text to be added", "[Date]", "Xxxxx Xxxxx", "HTTP 429 - rate limit exceeded", "Gateway Timeout", "This site can't provide a secure connection", "The webpage is not available", "Sorry, we couldn't find that page", "Internal Server Error", "Your connection was interrupted", "JavaScript must be enabled to continue", "This app requires JavaScript to run", "Turn on JavaScript and reload the page", "Placeholder text - do not publish", "Sed ut perspiciatis unde omnis iste natus error",
+)
+FRESH_REAL = (
+    "Contractor to verify all dimensions in field", "Gate 2 closed, use gate 4", "Door 502 hardware missing", "Connection detail 5/S-401 typical", "Server closet needs dedicated cooling", "Script for opening ceremony by owner", "Sample room finish approved 5/12", "Bidder to enter via north lot", "Page 3 of addendum replaces page 3", "Service unavailable to crane after 6 pm", "Access restricted to badge holders", "Error in drawing corrected by RFI 12", "Not found in spec section 09 91 23", "Session with architect on Monday", "Placeholder beam by others, remove after pour", "Test and balance by others", "Date of pour to be confirmed by supplier", "Type A partition to deck", "Line 404 of the estimate was doubled", "Insert anchors at 24 in o.c.",
+)
+
+
+def test_fresh_phrases(spark):
+    """Precision on phrases the rules were not written for; their recall was one half, short of the 0.9 wished for."""
+    texts = [*FRESH_RESIDUE, *FRESH_REAL]
+    found = {texts[r.row_id] for r in R.residue(frame(spark, texts)).collect()}
+    hits = len(found & set(FRESH_RESIDUE))
+    assert hits >= 10 and hits >= 0.9 * len(found), (set(FRESH_RESIDUE) - found, found & set(FRESH_REAL))
 
 
 def test_a_weak_cue_needs_recurrence(spark):
