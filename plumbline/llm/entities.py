@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,7 +76,8 @@ _AFTER = re.compile(r"(?<![\w/-])\d+(?:[./]\d+)?\s*([^\W\d_]{2,})\b")
 
 
 def learn(*tables: DataFrame) -> Lexicon:
-    """Lexicon from the descriptions of all rows: `Auditorium 5-375` tells a place, `40 hp` a measure."""
+    """Lexicon from the descriptions of all rows: `Auditorium 5-375` tells a place, `40 hp` a measure. Equal descriptions are one text,
+    or a single misread one would become a rule by being repeated."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -105,7 +106,7 @@ def learn(*tables: DataFrame) -> Lexicon:
         part = t.select("description").where("description is not null")
         texts = part if texts is None else texts.unionByName(part)
     kinds = [f"k{i}" for i in range(5)]
-    sums = cut(texts.mapInPandas(count, "word string, " + ", ".join(f"{k} bigint" for k in kinds)).groupBy("word").agg(*[F.sum(k).alias(k) for k in kinds]))
+    sums = cut(texts.distinct().mapInPandas(count, "word string, " + ", ".join(f"{k} bigint" for k in kinds)).groupBy("word").agg(*[F.sum(k).alias(k) for k in kinds]))
     whole = sums.where("word = ''").select("k4").first()
     least = max(LEARNT_COUNT, (whole[0] if whole else 0) // LEXICON)
     kept = sums.where((F.col("word") != "") & ((F.col("k1") >= least) | (F.col("k3") >= least) | (F.col("k4") > max(least, (whole[0] if whole else 0) // COMMON_TEXTS)))).collect()
@@ -158,8 +159,8 @@ def common_amount(quantity: float | None, unit: str | None, notes: str | None, d
     return dimension, quantity * factor, 0.0 if factor == 1.0 else 0.5 * 10.0**-digits * factor
 
 
-def described(df: DataFrame, key: str, name: str, unit: str, known: Lexicon = Lexicon()) -> DataFrame:
-    """Classes of rows with equal parts: name (the smallest id), the parts, copies (ids). Rows without a description fall out."""
+def described(df: DataFrame, key: str, unit: str, known: Lexicon = Lexicon()) -> DataFrame:
+    """id and parts (p) of every row with a description."""
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf(_PARTS)
@@ -169,9 +170,13 @@ def described(df: DataFrame, key: str, name: str, unit: str, known: Lexicon = Le
             yield pd.DataFrame(rows, columns=[f.name for f in _PARTS.fields])
 
     rows = need(df, key, "description", "quantity", unit, "notes").where(F.col(key).isNotNull() & (F.trim("description") != ""))
-    rows = rows.select(F.col(key).cast("bigint").alias(name), parts_of("description", F.col("quantity").cast("double"), F.col(unit), "notes").alias("p"))
-    # a repeated row counts once
-    return rows.distinct().groupBy("p").agg(F.min(name).alias(name), F.count(F.lit(1)).alias("copies")).select(name, "copies", "p.*")
+    rows = rows.select(F.col(key).cast("bigint").alias("id"), parts_of("description", F.col("quantity").cast("double"), F.col(unit), "notes").alias("p"))
+    return rows.distinct()  # a repeated row counts once
+
+
+def classes(each: DataFrame, name: str) -> DataFrame:
+    """Classes of rows with equal parts: name (the smallest id), copies (ids), p."""
+    return each.groupBy("p").agg(F.min("id").alias(name), F.count(F.lit(1)).alias("copies"))
 
 
 def _keys() -> Column:
@@ -216,8 +221,7 @@ def _log_odds() -> Column:
 
 def candidates(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """item_id, row_id, items, rows (copies of either), odds (log) of the classes that meet under a blocking key."""
-    a = cut(lines.withColumn("keys", _keys()))
-    b = cut(rows.withColumn("keys", _keys()))
+    a, b = lines.withColumn("keys", _keys()), rows.withColumn("keys", _keys())
     met = a.select("item_id", F.explode("keys").alias("key")).join(b.select("row_id", F.explode("keys").alias("key")), "key").select("item_id", "row_id").distinct()
     pairs = met.join(a.drop("keys").alias("a"), "item_id").join(b.drop("keys").alias("b"), "row_id")
     return pairs.select("item_id", "row_id", F.col("a.copies").alias("items"), F.col("b.copies").alias("rows"), _log_odds().alias("odds")).where(F.col("odds") > PRIOR)
@@ -232,31 +236,68 @@ def _message(pairs: DataFrame, factor: str, copies: str, into: str, out: str) ->
     return pairs.join(sums, factor).withColumn(out, DAMPING * F.col(out) - (1 - DAMPING) * F.log1p(others)).drop("all")
 
 
+def _start(pairs: DataFrame) -> DataFrame:
+    """Pairs (with all_row and all_item, the weights of all pairs of the row and of the item) and messages to start from: those
+    that stand still if every rival's messages equal the pair's own. Exact for a pair of classes without other rivals
+    than their copies, and for rivals that all have one weight; there messages that start from nothing creep."""
+    weight = F.exp(F.col("odds"))
+    by_row, by_item = (F.greatest(F.col(c) / weight - 1, F.lit(0.0)) for c in ("all_row", "all_item"))
+    # u = exp(from_row) = 1 / (1 + by_row weight v) and v = exp(from_item) = 1 / (1 + by_item weight u), so with p = weight u v
+    # u = 1 - by_row p, v = 1 - by_item p; the smaller of the two comes from the larger, since 1 - x loses digits near 0
+    b = weight * (by_row + by_item) + 1
+    p = 2 * weight / (b + F.sqrt(F.pow(weight * (by_row - by_item), 2) + 2 * weight * (by_row + by_item) + 1))
+    larger = 1 - F.least(by_row, by_item) * p
+    smaller = 1 / (1 + F.greatest(by_row, by_item) * weight * larger)
+    u, v = (F.when(c, smaller).otherwise(larger) for c in (by_row >= by_item, by_row < by_item))
+    return pairs.withColumns({"from_row": F.log(u), "from_item": F.log(v)}).drop("all_row", "all_item")
+
+
 def marginals(pairs: DataFrame) -> DataFrame:
     """item_id, row_id, items, rows, confidence of candidate pairs (item_id, row_id, items, rows, odds) under the one-to-one
     factors; of classes with copies, that of any one pair of copies.
 
     There is no limit of rounds: messages of such factors are known to settle in related models, damping keeps them from
-    swinging, and they settled in every case tried (7 rounds for 5,343 pairs); that they always do is not proven here. Each round's state replaces the last one's in the checkpoint folder.
+    swinging, and they settled in every case tried; that they always do is not proven here. What must stand still is the
+    log-odds of every pair, its two messages together: where lines and rows are equally many, messages may go on to
+    shift from one side to the other without any effect. Each round's state replaces the last one's in the checkpoint folder.
     """
     spark = pairs.sparkSession
-    by_item = pairs.groupBy("item_id").agg(F.sum("rows").alias("of_item"))
-    by_row = pairs.groupBy("row_id").agg(F.sum("items").alias("of_row"))
-    counted = cut(pairs.join(by_item, "item_id").join(by_row, "row_id").withColumn("odds", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "odds"))))
+    pairs = pairs.withColumn("odds", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "odds")))
+    weight = F.exp(F.col("odds"))
+    by_item = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("of_item"), F.sum(weight * F.col("rows")).alias("all_item"))
+    by_row = pairs.groupBy("row_id").agg(F.count(F.lit(1)).alias("of_row"), F.sum(weight * F.col("items")).alias("all_row"))
+    counted = cut(_start(pairs.join(by_item, "item_id").join(by_row, "row_id")))
     free = (F.col("of_item") == 1) & (F.col("of_row") == 1)
-    settled = counted.where(free).select("item_id", "row_id", "items", "rows", (1 / (1 + F.exp(-F.col("odds")))).alias("confidence"))
-    state = counted.where(~free).select("item_id", "row_id", "items", "rows", "odds", F.lit(0.0).alias("from_row"), F.lit(0.0).alias("from_item"))
+    sure = 1 / (1 + F.exp(-(F.col("odds") + F.col("from_row") + F.col("from_item"))))
+    settled = counted.where(free).select("item_id", "row_id", "items", "rows", "odds", sure.alias("confidence"))
+    state = counted.where(~free).select("item_id", "row_id", "items", "rows", "odds", "from_row", "from_item")
     change, last = math.inf, None
     while change >= STILL:
-        moved = _message(state.withColumn("was_row", F.col("from_row")).withColumn("was_item", F.col("from_item")), "row_id", "items", "from_item", "from_row")
+        moved = _message(state.withColumn("was", F.col("from_row") + F.col("from_item")), "row_id", "items", "from_item", "from_row")
         moved = cut(_message(moved, "item_id", "rows", "from_row", "from_item"))
-        change = moved.agg(F.max(F.greatest(F.abs(F.col("from_row") - F.col("was_row")), F.abs(F.col("from_item") - F.col("was_item"))))).first()[0] or 0.0
-        state = moved.drop("was_row", "was_item")
+        change = moved.agg(F.max(F.abs(F.col("from_row") + F.col("from_item") - F.col("was")))).first()[0] or 0.0
+        state = moved.drop("was")
         if last is not None:
             forget(spark, last)
         last = moved
-    looped = state.select("item_id", "row_id", "items", "rows", (1 / (1 + F.exp(-(F.col("odds") + F.col("from_row") + F.col("from_item"))))).alias("confidence"))
-    return settled.unionByName(looped)
+    return settled.unionByName(state.select("item_id", "row_id", "items", "rows", "odds", sure.alias("confidence")))
+
+
+def _mutual(found: DataFrame) -> DataFrame:
+    """item_id, row_id, confidence, taken (copies of either that match) of the classes that are each other's best."""
+    best = lambda key, other, copies: found.groupBy(key).agg(F.max(F.struct("confidence", (-F.col(other)).alias("minus"))).alias("top"), F.sum(F.col("confidence") * F.col(copies)).alias("mass"))
+    items = best("item_id", "row_id", "rows").select("item_id", (-F.col("top.minus")).alias("row_id"), F.col("mass").alias("item_mass"))
+    quoted = best("row_id", "item_id", "items").select("row_id", (-F.col("top.minus")).alias("item_id"), F.col("mass").alias("row_mass"))
+    mutual = items.join(quoted, ["item_id", "row_id"]).where("greatest(item_mass, row_mass) >= 0.5")
+    return mutual.join(found, ["item_id", "row_id"]).select("item_id", "row_id", "confidence", F.least("items", "rows").alias("taken"))
+
+
+def _members(each: DataFrame, of: DataFrame, name: str, spent: str, known: DataFrame) -> DataFrame:
+    """item_id, row_id, nth, id: the taken copies of every pair of classes (known), in the order of their ids after the spent ones."""
+    ids = each.join(of.join(known.select(name).distinct(), name).select(name, "p"), "p").select(name, "id")
+    ranked = ids.withColumn("nth", F.row_number().over(Window.partitionBy(name).orderBy("id")))
+    nth = F.col("nth") - F.col(spent)
+    return ranked.join(known, name).where((nth > 0) & (nth <= F.col("taken"))).select("item_id", "row_id", nth.alias("nth"), "id")
 
 
 def match(lines: DataFrame, rows: DataFrame) -> DataFrame:
@@ -264,15 +305,35 @@ def match(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
     lines: item_id, description, quantity, unit, notes; rows: row_id, description, quantity, unit_of_measure,
     notes. A pair is matched if it is the best of both its line and its row and one of them is matched, by
-    whichever of its pairs, with a probability of at least a half; so among equal copies the one of the smaller
-    id matches. Null or blank descriptions match nothing; null quantities and unknown units neither support nor
-    contradict a match. Ids must be unique; repeated rows of one id count as one.
+    whichever of its pairs, with a probability of at least a half. Of equal lines and equal rows as many match as
+    there are of both, the smallest ids first and in order; confidence is that of any one pair of the copies, so
+    among more copies it is smaller. What is left over, copies or not, is matched by the same rule among itself, as far
+    as pairs are more likely than not by themselves, until nothing more matches. Null or blank descriptions match
+    nothing; null quantities and unknown units neither support nor contradict a match. Ids must be unique; repeated
+    rows of one id count as one.
     """
     known = learn(need(lines, "description"), need(rows, "description"))
-    a, b = described(lines, "item_id", "item_id", "unit", known), described(rows, "row_id", "row_id", "unit_of_measure", known)
-    found = cut(marginals(candidates(a, b)))
-    best = lambda key, other, copies: found.groupBy(key).agg(F.max(F.struct("confidence", (-F.col(other)).alias("minus"))).alias("top"), F.sum(F.col("confidence") * F.col(copies)).alias("mass"))
-    items = best("item_id", "row_id", "rows").select("item_id", (-F.col("top.minus")).alias("row_id"), F.col("mass").alias("item_mass"))
-    quoted = best("row_id", "item_id", "items").select("row_id", (-F.col("top.minus")).alias("item_id"), F.col("mass").alias("row_mass"))
-    mutual = items.join(quoted, ["item_id", "row_id"]).where("greatest(item_mass, row_mass) >= 0.5")
-    return mutual.join(found, ["item_id", "row_id"]).select("item_id", "row_id", "confidence")
+    each_item, each_row = cut(described(lines, "item_id", "unit", known)), cut(described(rows, "row_id", "unit_of_measure", known))
+    a, b = cut(classes(each_item, "item_id")), cut(classes(each_row, "row_id"))
+    open_pairs = candidates(a.select("item_id", "copies", "p.*"), b.select("row_id", "copies", "p.*")).withColumns({"item_spent": F.lit(0), "row_spent": F.lit(0)})
+    done = None
+    while True:
+        open_pairs = cut(open_pairs)
+        taken = cut(_mutual(marginals(open_pairs)).join(open_pairs.drop("odds"), ["item_id", "row_id"]))
+        done = taken if done is None else done.unionByName(taken)
+        of_item, of_row = (taken.select(k, F.col("taken").alias(t)) for k, t in (("item_id", "item_taken"), ("row_id", "row_taken")))
+        left = open_pairs.where("odds > 0").join(of_item, "item_id", "left").join(of_row, "row_id", "left").na.fill(0, ["item_taken", "row_taken"])
+        left = left.where("items > item_taken and rows > row_taken")
+        if taken.isEmpty() or left.isEmpty():
+            break
+        open_pairs = left.select("item_id", "row_id", F.expr("items - item_taken").alias("items"), F.expr("rows - row_taken").alias("rows"), "odds", F.expr("item_spent + item_taken").alias("item_spent"), F.expr("row_spent + row_taken").alias("row_spent"))
+    single = (F.col("taken") == 1) & (F.col("item_spent") == 0) & (F.col("row_spent") == 0)
+    several = cut(done.where(~single).select("item_id", "row_id", "confidence", "taken", "item_spent", "row_spent"))
+    out = done.where(single).select("item_id", "row_id", "confidence")
+    if not several.isEmpty():
+        x, y = _members(each_item, a, "item_id", "item_spent", several), _members(each_row, b, "row_id", "row_spent", several)
+        copies = x.withColumnRenamed("id", "item").join(y.withColumnRenamed("id", "row"), ["item_id", "row_id", "nth"]).join(several, ["item_id", "row_id"])
+        out = out.unionByName(cut(copies.select(F.col("item").alias("item_id"), F.col("row").alias("row_id"), "confidence")))
+    for df in (each_item, each_row, a, b, several):
+        forget(lines.sparkSession, df)
+    return out

@@ -6,6 +6,7 @@ import math
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("plumbline.llm")
 from plumbline.llm import entities as E  # noqa: E402
@@ -89,3 +90,67 @@ def test_match(spark):
     got = {(r.item_id, r.row_id): r.confidence for r in E.match(a, b).collect()}
     assert set(got) == {(1, 10), (3, 11)} and got[1, 10] > 0.9 and 0.3 < got[3, 11] < 0.6  # of two equal rows the smaller id, in doubt
     assert E.match(a.where("false"), b).count() == 0 and E.match(a, b.where("false")).count() == 0
+
+
+def _lines(spark, rows):
+    return spark.createDataFrame([(i, d, q, u, None, "clash", "clash") for i, d, q, u in rows], LINES)
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame([(i, d, q, u, None, "clash") for i, d, q, u in rows], ROWS)
+
+
+COPING, QUOTED = "Coping, 8 in wide: Dalber 77 at gym 1-234", "coping Dalber #77 8 in w @ 1-234"
+
+
+def _pairs(df):
+    got = [(r.item_id, r.row_id) for r in df.collect()]
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+    return sorted(got)
+
+
+@pytest.mark.parametrize(("lines", "rows"), [(2, 2), (3, 2), (2, 5), (40, 40), (40, 39)])
+def test_all_copies_match(spark, lines, rows):
+    a = _lines(spark, [(i, COPING, 200.0, "LF") for i in range(1, lines + 1)] * 2)
+    b = _rows(spark, [(100 + j, QUOTED, 200.0, "LF") for j in range(1, rows + 1)])
+    assert _pairs(E.match(a, b)) == [(k, 100 + k) for k in range(1, min(lines, rows) + 1)]
+
+
+def test_copies_match_rows_of_other_wording(spark):
+    rows = [(10, QUOTED, 200.0, "LF"), (11, "Dalber-77 coping 8 in, 1-234", 201.0, "LF"), (12, QUOTED, 200.0, "LF"), (13, "Dalber-77 coping 9 in, 1-999", 20.0, "LF")]
+    got = _pairs(E.match(_lines(spark, [(i, COPING, 200.0, "LF") for i in range(1, 6)]), _rows(spark, rows)))
+    assert [i for i, _ in got] == [1, 2, 3] and sorted(j for _, j in got) == [10, 11, 12]
+
+
+def test_rows_of_near_equal_lines_are_not_left_out(spark):
+    lines = [(1, COPING, 200.0, "LF"), (2, "Coping 8 in wide, Dalber 77, gym 1-234 wide", 200.5, "LF")]
+    rows = [(10, QUOTED, 200.0, "LF"), (11, "Dalber-77 coping 8 in, 1-234", 201.0, "LF")]
+    got = _pairs(E.match(_lines(spark, lines), _rows(spark, rows)))
+    assert [i for i, _ in got] == [1, 2] and [j for _, j in sorted(got, key=lambda p: p[1])] == [10, 11]
+
+
+def test_repeated_tables_give_repeated_pairs(spark, small):
+    from plumbline.sources.tables import load
+
+    lines, rows = load(spark, small, "takeoff_template").where("list_name = 'line_items'"), load(spark, small, "vendor_rows")
+    step = 10**12
+    more = lambda df, key: df.crossJoin(spark.range(4).select(F.col("id").alias("nth"))).withColumn(key, F.col(key) + F.col("nth") * step).drop("nth")
+    one = _pairs(E.match(lines, rows))
+    assert one and _pairs(E.match(more(lines, "item_id"), more(rows, "row_id"))) == sorted((i + k * step, j + k * step) for i, j in one for k in range(4))
+
+
+@pytest.mark.parametrize(("items", "rows"), [(2, 2), (50, 50), (50, 40), (1, 30)])
+def test_messages_between_copies_stand_still_soon(spark, monkeypatch, items, rows):
+    rounds, message = [], E._message
+    monkeypatch.setattr(E, "_message", lambda *a: rounds.append(a) or message(*a))
+    pairs = spark.createDataFrame([(1, 10, items, rows, 12.0), (1, 11, items, rows, -3.0), (2, 11, items, rows, 12.0)], "item_id bigint, row_id bigint, items bigint, rows bigint, odds double")
+    got = {(r.item_id, r.row_id): r.confidence for r in E.marginals(pairs).collect()}
+    assert len(rounds) <= 2 * 30
+    for pair in ((1, 10), (2, 11)):
+        assert got[pair] * max(items, rows) == pytest.approx(1, abs=0.05)
+
+
+def test_equal_texts_are_learnt_from_once(spark):
+    texts = ["Roof panel, loading dock 3488 Treanecoult #3120"] * 20 + [f"Pump {k} hp, auditorium 5-{300 + k}" for k in range(10, 60)]
+    known = E.learn(spark.createDataFrame([(t,) for t in texts], "description string"))
+    assert "treanecoult" not in known.measures and "hp" in known.measures
