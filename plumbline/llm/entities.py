@@ -285,7 +285,9 @@ def marginals(pairs: DataFrame) -> DataFrame:
 
 def _mutual(found: DataFrame) -> DataFrame:
     """item_id, row_id, confidence, taken (copies of either that match) of the classes that are each other's best."""
-    best = lambda key, other, copies: found.groupBy(key).agg(F.max(F.struct("confidence", (-F.col(other)).alias("minus"))).alias("top"), F.sum(F.col("confidence") * F.col(copies)).alias("mass"))
+    # being repeated makes no pair likelier: all copies count as much as the pair would without any rival, at most
+    share = lambda copies: F.least(F.col("confidence") * F.col(copies), 1 / (1 + F.exp(-F.col("odds"))))
+    best = lambda key, other, copies: found.groupBy(key).agg(F.max(F.struct("confidence", (-F.col(other)).alias("minus"))).alias("top"), F.sum(share(copies)).alias("mass"))
     items = best("item_id", "row_id", "rows").select("item_id", (-F.col("top.minus")).alias("row_id"), F.col("mass").alias("item_mass"))
     quoted = best("row_id", "item_id", "items").select("row_id", (-F.col("top.minus")).alias("item_id"), F.col("mass").alias("row_mass"))
     mutual = items.join(quoted, ["item_id", "row_id"]).where("greatest(item_mass, row_mass) >= 0.5")
@@ -305,7 +307,8 @@ def match(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
     lines: item_id, description, quantity, unit, notes; rows: row_id, description, quantity, unit_of_measure,
     notes. A pair is matched if it is the best of both its line and its row and one of them is matched, by
-    whichever of its pairs, with a probability of at least a half. Of equal lines and equal rows as many match as
+    whichever of its pairs, with a probability of at least a half, to which equal copies together add no more than one
+    of them would alone. Of equal lines and equal rows as many match as
     there are of both, the smallest ids first and in order; confidence is that of any one pair of the copies, so
     among more copies it is smaller. What is left over, copies or not, is matched by the same rule among itself, as far
     as pairs are more likely than not by themselves, until nothing more matches. Null or blank descriptions match

@@ -154,3 +154,10 @@ def test_equal_texts_are_learnt_from_once(spark):
     texts = ["Roof panel, loading dock 3488 Treanecoult #3120"] * 20 + [f"Pump {k} hp, auditorium 5-{300 + k}" for k in range(10, 60)]
     known = E.learn(spark.createDataFrame([(t,) for t in texts], "description string"))
     assert "treanecoult" not in known.measures and "hp" in known.measures
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_doubtful_pairs_do_not_match_by_being_repeated(spark, copies):
+    a = _lines(spark, [(i, COPING, None, "LF") for i in range(copies)])
+    b = _rows(spark, [(100 + j, QUOTED.replace("1-234", "1-999"), None, "LF") for j in range(copies)])
+    assert _pairs(E.match(a, b)) == []
